@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, packing, repetition, token_counts
+from . import bpe, chunk_dedup, jaccard_join, kneser_ney, packing, repetition, token_counts
 
 BYTE_BPE_JSON = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_JSON), capacity=1024, end_id=2)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), percent=75, words_each=5)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = kneser_ney.held_out("doc_id", 10)
+    model = kneser_ney.train(docs.filter(~out))
+    scores = kneser_ney.score_documents(docs, model)
+    return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks", "n_cut", "cut_spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_JSON))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)

@@ -4,23 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievelog.llm import chunk_dedup, jaccard_join, packing, quality_trees, repetition
 from sievelog.llm import queries as q
-from sievelog.llm import repetition
 from sievelog.llm.shared import shared_folder
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.3 or more stay."""
+    return quality_trees.keep_good(docs, q.quality_forest(spark, docs, sf_dir), least=0.3)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep stay."""
     return repetition.keep_good(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules)]
-#: Trees, rolling hashes and packing are beyond SQL; the tests hold the stages against brute force.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays, and of rows with one id the first by text. Rows
+    without words are linked with nothing, nor are those without an id, which stay."""
+    groups = jaccard_join.link_documents(docs, percent=75, words_each=5)
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out; a document that loses all its words goes."""
+    cut = chunk_dedup.dedup_substrings(docs)
+    kept = cut.filter("n_cut = 0 or coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(q.BYTE_BPE_JSON), capacity=1024, end_id=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Trees, rolling hashes, chunks and packing are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = q.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         folder = shared_folder(spark, f"pipeline-{i}-{name}")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chunk_dedup, jaccard_join, kneser_ney, packing, repetition, token_counts
+from . import bpe, chat_format, chunk_dedup, jaccard_join, kneser_ney, order_minhash, packing, quality_trees, repetition, token_counts
 
 BYTE_BPE_JSON = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"), percent=75, words_each=5)
 
 
+#: The call that a turn of a user makes, in the terms of chat formatting.
+REPLY: chat_format.Schema = {"n_chars": ("integer", True), "prompt": ("string", True)}
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of users as calls of ``reply``, the turns of assistants as results of the call one turn earlier."""
+    c = table(spark, sf_dir, "conversations")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    identity = F.when(user, F.concat_ws(":", "conv_id", "turn")).when(assistant, F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1))
+    arguments = F.when(user, F.to_json(F.struct(F.length("text").alias("n_chars"), F.col("text").alias("prompt"))))
+    messages = c.select("conv_id", "turn", "role", "text", identity.alias("call_id"), F.when(user, "reply").alias("tool"), arguments.alias("arguments"))
+    return chat_format.format_chat(messages, {"reply": REPLY})
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = kneser_ney.held_out("doc_id", 10)
@@ -35,6 +49,20 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def quality_forest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_trees.Forest:
+    return quality_trees.train(docs, table(spark, sf_dir, "labels"), sample=quality_trees.SAMPLE, folds=5)
+
+
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality_trees.score_documents(docs, quality_forest(spark, docs, sf_dir))
+    return scores.select("doc_id", (quality_trees.fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks", "n_cut", "cut_spans")
 
@@ -58,5 +86,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP3_SQL = """
+with m as (
+    select conv_id, turn, role, text, count(*) as copies,
+        case role when 'user' then conv_id || ':' || turn when 'assistant' then conv_id || ':' || (turn - 1) end as call_id,
+        case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind
+    from conversations group by all),
+l as (
+    select m.*, case kind
+        when 'call' then exists (select 1 from conversations o where o.conv_id = m.conv_id and o.turn = m.turn + 1 and o.role = 'assistant')
+        when 'result' then exists (select 1 from conversations o where o.conv_id = m.conv_id and o.turn = m.turn - 1 and o.role = 'user') end as linked,
+        case when kind = 'call' then text is not null end as valid
+    from m)
+select conv_id, turn, role, call_id, kind, linked, valid, copies,
+    row_number() over (partition by conv_id order by case when kind = 'result' and linked then turn - 1 else turn end, kind = 'result', turn, role, call_id, text) - 1 as position,
+    case kind
+        when 'call' then '{"arguments":' || case when valid then '{"n_chars":' || length(text) || ',"prompt":' || to_json(text) || '}' else to_json('{}') end
+            || ',"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"role":' || to_json(role) || ',"tool":"reply","turn":' || turn || ',"valid":' || valid || '}'
+        when 'result' then '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"linked":' || linked || ',"role":' || to_json(role) || ',"turn":' || turn || '}'
+        else '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"role":' || to_json(role) || ',"turn":' || turn || '}' end as json
+from l
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL}

@@ -38,7 +38,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     identity = F.when(user, F.concat_ws(":", "conv_id", "turn")).when(assistant, F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1))
     arguments = F.when(user, F.to_json(F.struct(F.length("text").alias("n_chars"), F.col("text").alias("prompt"))))
     messages = c.select("conv_id", "turn", "role", "text", identity.alias("call_id"), F.when(user, "reply").alias("tool"), arguments.alias("arguments"))
-    return chat_format.format_chat(messages, {"reply": REPLY})
+    out = chat_format.format_chat(messages, {"reply": REPLY})
+    return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("linked", "valid")})
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +99,12 @@ l as (
         when 'result' then exists (select 1 from conversations o where o.conv_id = m.conv_id and o.turn = m.turn - 1 and o.role = 'user') end as linked,
         case when kind = 'call' then text is not null end as valid
     from m)
-select conv_id, turn, role, call_id, kind, linked, valid, copies,
-    row_number() over (partition by conv_id order by case when kind = 'result' and linked then turn - 1 else turn end, kind = 'result', turn, role, call_id, text) - 1 as position,
+select conv_id, turn, role, call_id, kind, coalesce(cast(linked as varchar), '') as linked, coalesce(cast(valid as varchar), '') as valid, copies,
+    row_number() over (partition by conv_id order by case when kind = 'result' and l.linked then turn - 1 else turn end, kind = 'result', turn, role, call_id, text) - 1 as position,
     case kind
-        when 'call' then '{"arguments":' || case when valid then '{"n_chars":' || length(text) || ',"prompt":' || to_json(text) || '}' else to_json('{}') end
-            || ',"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"role":' || to_json(role) || ',"tool":"reply","turn":' || turn || ',"valid":' || valid || '}'
-        when 'result' then '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"linked":' || linked || ',"role":' || to_json(role) || ',"turn":' || turn || '}'
+        when 'call' then '{"arguments":' || case when l.valid then '{"n_chars":' || length(text) || ',"prompt":' || to_json(text) || '}' else to_json('{}') end
+            || ',"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"role":' || to_json(role) || ',"tool":"reply","turn":' || turn || ',"valid":' || l.valid || '}'
+        when 'result' then '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"id":' || to_json(call_id) || ',"linked":' || l.linked || ',"role":' || to_json(role) || ',"turn":' || turn || '}'
         else '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || conv_id || ',"role":' || to_json(role) || ',"turn":' || turn || '}' end as json
 from l
 """

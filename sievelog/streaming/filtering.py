@@ -37,5 +37,5 @@ def filter_payloads(payloads: DataFrame, pipeline: AuditPipeline, trigger: str,
 def filter_files(files: DataFrame, pipeline: AuditPipeline, bucket: str, checkpoint: str, failures: str | None = None, once: bool = False) -> StreamingQuery:
     """``files``: sources.envelopes.stream_of a bucket's folder."""
     inside = F.regexp_replace("path", rf"^.*?/{bucket}/", "")
-    objects = files.select(F.monotonically_increasing_id().alias("item"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("ack_id"), F.lit(bucket).alias("bucket"), inside.alias("key"), "size")
+    objects = files.select(F.xxhash64("path").alias("item"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("ack_id"), F.lit(bucket).alias("bucket"), inside.alias("key"), "size")
     return _start(objects, lambda frame: pipeline.filter_objects(frame, pipeline.store.get()), checkpoint, failures, once)

@@ -6,19 +6,22 @@ states what a rule means on the plain columns, so that it checks the way through
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import objects as ops
-from .operators.counting import committed, rule_drops, tally
+from .operators.counting import committed, metric_lines, rule_drops, tally
 from .operators.reports import record_lines, summary
 from .operators.sink import envelope_text
 from .plans.compiler import decided
 from .plans.rules import RuleSet, parse_rules
 from .plans.settings import Processing, Source
 from .session import ship
+from .sources.envelopes import records_of
 from .sources.notifications import decode_eventbridge, decode_s3, decode_sns, decode_sqs, exploded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +321,52 @@ def envelope_roundtrip(spark, d):
     return kept.groupBy("object").agg(envelope_text(F.col("event_id"), F.col("raw")).alias("body"))
 
 
+def _bodies(spark, d) -> DataFrame:
+    """(object, content): an envelope for each object, whole or damaged in a way that depends on its number."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 16).cast("long").alias("object"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("raw"))
+    texts = e.groupBy("object").agg(envelope_text(F.col("event_id"), F.col("raw")).alias("body"))
+
+    @F.pandas_udf("binary")
+    def content(number: pd.Series, body: pd.Series) -> pd.Series:
+        def one(n: int, text: str) -> bytes:
+            b = text.encode()
+            packed = gzip.compress(b, 1, mtime=0)
+            half = len(b) // 2
+            return {
+                1: gzip.compress(b[:half], 1, mtime=0) + gzip.compress(b[half:] + b" \n", 1, mtime=0), 2: packed[:-4], 3: packed + packed, 4: b, 5: gzip.compress(b"[" + b + b"]"), 6: gzip.compress(b'{"a":1,' + b[1:] + b"x"), 7: gzip.compress(b[:-1] + b',"Records":[]}'),
+            }.get(n, packed)
+
+        return pd.Series([one(n, t) for n, t in zip(number, body, strict=True)])
+
+    return texts.select("object", content("object", "body").alias("content"), F.lit("buffer").alias("mode"))
+
+
+@_query("envelope_statuses", "select distinct user_id % 16 as object, case user_id % 16 when 2 then 'gzip_error' when 3 then 'json_error' when 4 then 'gzip_error' when 5 then 'unrecognized' when 6 then 'json_error' when 7 then 'unrecognized' else 'ok' end as status from events")
+def envelope_statuses(spark, d):
+    return records_of(_bodies(spark, d), content="content").select("object", "status").distinct()
+
+
+@_query("envelope_filter", "select user_id % 16 as object, count(*) as records_in, count(*) filter (event_type <> 'error') as records_kept, count(*) filter (event_type = 'error') as records_dropped, cast(0 as bigint) as parse_errors from events where user_id % 16 not between 2 and 7 group by 1")
+def envelope_filter(spark, d):
+    """From compressed envelopes to the tallies of those that can be read."""
+    r = records_of(_bodies(spark, d), content="content").filter("pos is not null")
+    return tally(decided(r, rules_of(("r0", "{field: type, equals: error}")), parse_ok=F.col("parse_ok")), "object")
+
+
+@_query("envelope_verbatim", "select user_id % 16 as object, row_number() over (partition by user_id % 16 order by event_id) - 1 as pos, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' as raw from events where user_id % 16 not between 2 and 7")
+def envelope_verbatim(spark, d):
+    return records_of(_bodies(spark, d), content="content").filter("pos is not null").select("object", F.col("pos").cast("long").alias("pos"), "raw")
+
+
+@_query("emf_lines")
+def emf_lines(spark, d):
+    """The lines that a run publishes: one of all counters, one of each rule."""
+    x = _decisions(spark, d)
+    counts = tally(x.withColumn("all", F.lit(0)), "all").first().asDict()
+    drops = {r["rule"]: r["drops"] for r in rule_drops(x, NAMES).collect()}  # one for each rule at most
+    return spark.createDataFrame(list(enumerate(metric_lines(counts, drops, "sievelog", 0, True))), "no int, line string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -56,30 +56,35 @@ def fetched(path: str, cap: int | None) -> bytes | None:
         return None
 
 
-def records_of(objects: DataFrame, path: str = "path", mode: str = "mode", cap: int = 134_217_728, retry: bool = True) -> DataFrame:
+def records_of(objects: DataFrame, path: str = "path", mode: str = "mode", cap: int = 134_217_728, retry: bool = True, content: str | None = None) -> DataFrame:
     """The columns of ``objects`` with RECORDS: a row per record, and one without ``pos`` for an object that has none.
 
     ``mode`` is buffer (at most ``cap`` bytes, before and after decompression) or stream (no cap). With ``retry``, a buffered
     object that turns out too large is read as a stream. What is wrong with an object is its status, never an exception, so
-    that one object can't fail the others. An object is read by one task, its records leave in batches.
+    that one object can't fail the others. An object is read by one task, its records leave in batches. ``content``: a column
+    that already has the bytes, as Spark's binaryFile source gives them; it is dropped, and ``path`` isn't read.
     """
-    names = objects.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields) + ", " + RECORDS
+    names = [c for c in objects.columns if c != content]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields if f.name != content) + ", " + RECORDS
+
+    def load(row: pa.RecordBatch, limit: int | None) -> bytes | None:
+        if content is None:
+            return fetched(row.column(path)[0].as_py(), limit)
+        return row.column(content)[0].as_py()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                where, how = row.column(path)[0].as_py(), row.column(mode)[0].as_py()
-                limit = cap if how == "buffer" else None
-                data = fetched(where, limit)
+                limit = cap if row.column(mode)[0].as_py() == "buffer" else None
+                data = load(row, limit)
                 if data is None:
                     status, error, found = "missing", "no such object", []
                 else:
                     too_much = limit is not None and len(data) > limit
                     status, error, found = ("too_large", f"over {limit} bytes", []) if too_much else opened(data, limit)
                     if status == "too_large" and retry:
-                        data = fetched(where, None) or b""
+                        data = load(row, None) or b""
                         status, error, found = opened(data, None)
                 size = len(data or b"")
                 for a in range(0, max(len(found), 1), BATCH):

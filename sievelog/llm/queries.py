@@ -37,8 +37,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     identity = F.when(user, F.concat_ws(":", "conv_id", "turn")).when(assistant, F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1))
     arguments = F.when(user, F.to_json(F.struct(F.length("text").alias("n_chars"), F.col("text").alias("prompt"))))
-    messages = c.select("conv_id", "turn", "role", "text", identity.alias("call_id"), F.when(user, "reply").alias("tool"), arguments.alias("arguments"))
-    out = chat_format.format_chat(messages, {"reply": REPLY})
+    messages = c.select("conv_id", "turn", "role", "text", identity.alias("call_id"), F.when(user, "reply").alias("tool"))
+    out = chat_format.format_chat(messages, {"reply": REPLY}, arguments)
     return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("linked", "valid")})
 
 

@@ -24,11 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, and of rows with one id the first by text. Rows
-    without words are linked with nothing, nor are those without an id, which stay."""
-    groups = jaccard_join.link_documents(docs, percent=75, words_each=5)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the one with the smallest id stays, unchanged."""
+    return jaccard_join.keep_first(docs, percent=75, words_each=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -327,3 +327,35 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
     out = meta.join(named, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = 75, words_each: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, without those that links lead to a smaller id. Rows that share an id stay or go
+    together; rows without an id or without words stay. The ids that go are a store that tasks look into, so that no text is
+    shuffled for them."""
+    shards = shards_for(docs)
+    gone = Store(shared_folder(docs.sparkSession, "gone"), shards, ("gone",))
+    later = link_documents(docs, percent, words_each, id_column, text_column).filter(f"component_id <> `{id_column}`").select(F.col(id_column).alias("id")).distinct()
+
+    def keys_of(ids) -> np.ndarray:
+        return mixed(ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    def hashed(batches):
+        for b in batches:
+            keys = np.sort(keys_of(b.column("id")))
+            yield from blobs(shards, keys, np.ones(len(keys), np.uint8))
+
+    def fold(shard, parts):
+        keys = np.unique(joined(parts)[0])
+        gone.write(shard, keys, np.ones(len(keys), np.uint8))
+        yield pa.RecordBatch.from_pydict({"n": [len(keys)]})
+
+    reduced(later.mapInArrow(hashed, BLOBS), fold, "n long").agg({"n": "sum"}).collect()
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(id_column)
+            (hit,) = gone.find(keys_of(ids), np.uint8(0))
+            yield b.filter(pa.array((hit == 0) | ~ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -73,6 +73,15 @@ def test_links_of_odd_rows(spark, none):
     assert got == [(0, None), (4, 4), (4, 4), (4, 4), (9, 4)]
 
 
+def test_first_of_each_group_stays(docs, rows, spark, none):
+    want = groups(rows)
+    got = {r["doc_id"]: r["text"] for r in jaccard_join.keep_first(docs).collect()}
+    assert got == {i: t for i, t in rows if want[i][1] == i}
+    assert jaccard_join.keep_first(none).collect() == []
+    odd = spark.createDataFrame([(None, "a b c d e f"), (0, "a b c d e f"), (4, "a b c d e f"), (9, ""), (10, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in jaccard_join.keep_first(odd).collect()) == [(False, 0), (False, 9), (False, 10), (True, None)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (7, 5), (3, 3), (200, 100)] + [(1000, 1000 + k) for k in range(50)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

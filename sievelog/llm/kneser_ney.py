@@ -25,8 +25,8 @@ from .shared import BLOBS, Store, blobs, counted, joined, mapped, reduced, save,
 #: The hash that stands for the end of a text (no word's, but with the chance of any 64-bit collision).
 END = np.uint64(0xE0D0_F7E7_5EED_0001)
 #: Distinct keys that a task holds before it passes them on.
-HELD = 3_000_000
-FLUSH = 4_000_000
+HELD = 1_200_000
+FLUSH = 1_600_000
 
 
 def unmixed(x: np.ndarray) -> np.ndarray:

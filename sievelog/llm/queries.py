@@ -16,6 +16,9 @@ BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # texts are long: batches of ten thousand rows would take most of a small executor's memory outside the heap
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,13 +24,14 @@ class Rules:
     """Largest allowed shares. ``ngrams``: of word characters inside repeated runs of so many words, first occurrences
     included; ``lines``: of word characters inside lines that repeat an earlier one; ``symbols``: symbols for each word;
     ``line_count``: of lines that repeat an earlier one. Documents under ``least_words``, or with over ``repeat_words`` of
-    their words in repeated 3-word windows, fail the base rules."""
+    their words in repeated 3-word windows, fail the base rules. As longer repeated runs lie inside those windows, the other
+    limits have to be well under that share to reject anything."""
 
     least_words: int = 50
     repeat_words: int = 50
-    ngrams: tuple[tuple[int, float], ...] = ((5, 0.60), (7, 0.55), (10, 0.50))
-    lines: float = 0.45
-    line_count: float = 0.50
+    ngrams: tuple[tuple[int, float], ...] = ((5, 0.30), (7, 0.26), (10, 0.20))
+    lines: float = 0.20
+    line_count: float = 0.35
     symbols: float = 0.15
 
 

@@ -47,6 +47,34 @@ def test_measures_and_verdict(docs, rows):
         assert (i in kept) == keep and (not keep or kept[i] == t)
 
 
+def test_each_limit_rejects_what_passes_the_base_rule(spark):
+    rules, number = repetition.Rules(), iter(range(10**6, 10**7))
+
+    def fresh(n):
+        return [f"w{next(number)}" for _ in range(n)]
+
+    def phrases(n, twice, once):
+        """``twice`` phrases of ``n`` words that stand there two times, among ``once`` other words."""
+        out = []
+        for p in [fresh(n) for _ in range(twice)] * 2:
+            out += [*p, *fresh(once // (2 * twice))]
+        return " ".join(out)
+
+    def lines(copies, words, others, length):
+        line = " ".join(fresh(words))
+        return "\n".join(x for _ in range(copies) for x in (line, *(" ".join(fresh(length)) for _ in range(others))))
+
+    cases = {"dup_chars_5": phrases(6, 4, 72), "dup_chars_7": phrases(8, 4, 168), "dup_chars_10": phrases(11, 4, 304), "dup_line_chars": lines(6, 4, 2, 4), "dup_lines": lines(8, 1, 1, 9)}
+    frame = spark.createDataFrame([*cases.items(), ("none", " ".join(fresh(200)))], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in repetition.judge_documents(frame).collect()}
+    most = {"dup_line_chars": rules.lines, **{f"dup_chars_{n}": x for n, x in rules.ngrams}}
+    for name in cases:
+        r = got[name]
+        over = [x for x, limit in most.items() if r[x] > limit * r["word_chars"]] + ["dup_lines"] * (r["dup_lines"] > rules.line_count * r["lines"])
+        assert (over, r["base_failed"], r["kept"]) == ([name], False, False)
+    assert got["none"]["kept"] and {r["doc_id"] for r in repetition.keep_good(frame).collect()} == {"none"}
+
+
 def test_rules_without_rows(none):
     assert repetition.judge_documents(none).collect() == [] and repetition.keep_good(none).collect() == []
 

@@ -14,13 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import SPACE, sliced, span_hashes
+from .arrays import SPACE, mixed, sliced, span_hashes
 from .shared import BLOBS, Store, blobs, joined, reduced, shared_folder, shards_for
 
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 GEAR = _RANDOM.integers(0, 2**16, 256, dtype=np.uint16)
 WINDOW = 16
-#: Chunks that a task holds before it passes them on.
+#: Stretches that a task holds before it passes them on.
 HELD = 2_000_000
 
 
@@ -69,10 +69,25 @@ def chunks(data: np.ndarray, off: np.ndarray, least: int = 16, bits: int = 4, mo
     return np.array(ends, np.int64), np.array(first, np.int64)
 
 
+def stretches(begins: np.ndarray, ends: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the shortest stretches of ``least`` bytes or more, within a document, from and up to each chunk.
+
+    Any run of that size is the union of those inside it: one from its first chunk on, one up to its last."""
+    per = np.diff(first)
+    head, past = np.repeat(first[:-1], per), np.repeat(first[1:], per)  # of the chunk's document
+    chunk = np.arange(len(ends))
+    to = np.searchsorted(ends, begins + least)
+    fits = to < past
+    since = np.searchsorted(begins, ends - least, "right") - 1
+    back = since >= head
+    pairs = np.unique(np.concatenate([chunk[fits], since[back]]) << 32 | np.concatenate([to[fits], chunk[back]]))
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
 class Repeated:
-    """Digests that the corpus has more than once, with the place of the first."""
+    """Digests of stretches that the corpus has more than once, with the place of the first."""
 
-    def __init__(self, docs: DataFrame, id_column: str, text_column: str):
+    def __init__(self, docs: DataFrame, least: int, id_column: str, text_column: str):
         shards = shards_for(docs)
         store = self.store = Store(shared_folder(docs.sparkSession, "chunks"), shards, ("doc", "place"))
 
@@ -85,7 +100,7 @@ class Repeated:
                 return blobs(shards, keys[order], ids[order], place[order].astype(np.uint32))
 
             for rows, data, off in sliced(batches, text_column):
-                held.append(spans(rows, data, off, id_column)[:3])
+                held.append(spans(rows, data, off, least, id_column)[:3])
                 n += len(held[-1][0])
                 if n > HELD:
                     yield from give()
@@ -105,43 +120,48 @@ class Repeated:
         reduced(docs.select(id_column, text_column).mapInArrow(gather, BLOBS), fold, "shard int, distinct long, repeated long").agg({"repeated": "sum"}).collect()
 
 
-def spans(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, id_column: str):
-    """Of each chunk: digest, document id (null as the least), number in its document, begin and end; and the first of each document."""
+def spans(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, least: int, id_column: str):
+    """Of each stretch: digest, document id (null as the least), number of its first chunk in its document, first and last
+    chunk; of each chunk begin and end; and the first chunk of each document."""
     ends, first = chunks(data, off)
     per = np.diff(first)
     begins = np.empty(len(ends), np.int64)
     begins[1:] = ends[:-1]
     begins[first[:-1][per > 0]] = off[:-1][per > 0]
-    ids = np.repeat(rows.column(id_column).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64), per)
-    place = np.arange(len(ends)) - np.repeat(first[:-1], per)
-    return span_hashes(data, begins, ends), ids, place, (begins, ends), first
+    own = span_hashes(data, begins, ends)
+    at, to = stretches(begins, ends, first, least)
+    doc = np.repeat(np.arange(len(per)), per)[at]
+    ids = rows.column(id_column).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+    keys = np.zeros(len(at), np.uint64)
+    for i in range(int((to - at).max(initial=-1)) + 1):
+        some = at + i <= to
+        keys[some] = mixed(keys[some] + own[at[some] + i] + np.uint64(i + 1))
+    return keys, ids, at - first[doc], (at, to), (begins, ends), first
 
 
 def dedup_substrings(docs: DataFrame, least: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the repeated passages cut out of the text, and three more: ``n_chunks``, ``n_cut``
-    (chunks cut out) and ``cut_spans`` (array of struct<begin, length> in code points of the text as it was).
+    """All columns of ``docs`` with the repeated passages of at least ``least`` bytes cut out of the text, and three more:
+    ``n_chunks``, ``n_cut`` (chunks cut out) and ``cut_spans`` (array of struct<begin, length> in code points of the text as
+    it was).
 
     One occurrence of everything stays in the corpus. Whole copies lose their text but not their row; null stays null. Rows
     that share an id count as one document after another with the same places, so the copies among them stay whole: give
     unique ids. Columns of ``docs`` with the names of the three give way.
     """
     docs = docs.drop("n_chunks", "n_cut", "cut_spans")
-    store = Repeated(docs, id_column, text_column).store
+    store = Repeated(docs, least, id_column, text_column).store
     names = docs.columns
 
     def run(batches):
         for rows, data, off in sliced(batches, text_column):
-            keys, ids, place, (begins, ends), first = spans(rows, data, off, id_column)
+            keys, ids, place, (from_, to), (begins, ends), first = spans(rows, data, off, least, id_column)
             owner, at = store.find(keys, np.int64(-1), np.uint32(0xFFFFFFFF))
-            found = at != np.uint32(0xFFFFFFFF)
-            dup = found & ~((owner == ids) & (at == place))
+            dup = (at != np.uint32(0xFFFFFFFF)) & ~((owner == ids) & (at == place))
             doc = np.repeat(np.arange(rows.num_rows), np.diff(first))
-            # runs of such chunks within a document
-            starts = dup & ~(np.concatenate([[False], dup[:-1]]) & np.concatenate([[False], doc[1:] == doc[:-1]]) if len(dup) else dup)
-            run_of = np.cumsum(starts) - 1
-            size = np.bincount(run_of[dup], (ends - begins)[dup], minlength=int(starts.sum()))
-            cut = dup.copy()
-            cut[dup] = size[run_of[dup]] >= least
+            depth = np.bincount(from_[dup], minlength=len(ends) + 1) - np.bincount(to[dup] + 1, minlength=len(ends) + 1)
+            cut = np.cumsum(depth)[:-1] > 0
+            follows = np.zeros(len(ends), bool)  # the chunk before, of the same document, is cut as well
+            follows[1:] = cut[:-1] & (doc[1:] == doc[:-1])
             n_cut = np.bincount(doc[cut], minlength=rows.num_rows)
             edge = np.zeros(len(data) + 1, np.int32)
             edge[begins[cut]] += 1
@@ -152,8 +172,8 @@ def dedup_substrings(docs: DataFrame, least: int = 100, id_column: str = "doc_id
             text = pa.Array.from_buffers(pa.large_string(), rows.num_rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))])
             was = rows.column(text_column)
             text = pc.if_else(was.is_valid(), text.cast(was.type), pa.scalar(None, was.type))
-            head = np.flatnonzero(starts & cut)
-            tail = np.flatnonzero(cut & ~np.append(dup[1:] & (doc[1:] == doc[:-1]), False)) if len(cut) else head
+            head = np.flatnonzero(cut & ~follows)
+            tail = np.flatnonzero(cut & ~np.append((follows & cut)[1:], False))
             origin = points[off[doc[head]]]
             per = np.concatenate([[0], np.cumsum(np.bincount(doc[head], minlength=rows.num_rows))])
             cut_spans = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(points[begins[head]] - origin, pa.int64()), pa.array(points[ends[tail]] - points[begins[head]], pa.int64())], ["begin", "length"]))

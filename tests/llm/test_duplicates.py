@@ -132,6 +132,36 @@ def test_passages_are_cut(docs, rows):
     assert sum(r["text"] == texts[1] for r in got.values()) == 1 and gone[texts[1]] > 1  # one of the copies stays
 
 
+def pieces(text):
+    import pyarrow as pa
+
+    from sievelog.llm.arrays import utf8
+
+    data, off = utf8(pa.array([text]))
+    ends = chunk_dedup.chunks(data, off)[0].tolist()
+    return [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_chunks_of_several_documents_side_by_side_are_no_passage(spark):
+    import random
+
+    rnd, made = random.Random(21), None
+    fresh = lambda n: " ".join("".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    while made is None:
+        others = [fresh(60) + " " for _ in range(5)]
+        picked = [pieces(t)[4] for t in others]
+        text = fresh(40) + " " + b"".join(picked).decode() + fresh(40)
+        own = pieces(text)
+        at = own.index(picked[1]) if picked[1] in own else 0
+        if own[at : at + 4] == picked[1:] and sum(map(len, picked[1:])) >= 100:
+            made = text
+    rows = [*enumerate(others), (10, made), (11, fresh(40) + " " + b"".join(picked).decode() + fresh(40))]
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10]["text"] == made and all(got[i]["text"] == t for i, t in enumerate(others))
+    whole = b"".join(picked[1:]).decode()  # which the last document does share with the one before
+    assert whole in rows[-1][1] and whole not in got[11]["text"]
+
+
 def test_dedup_without_rows(none):
     assert chunk_dedup.dedup_substrings(none).collect() == []
 

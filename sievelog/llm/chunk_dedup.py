@@ -20,6 +20,8 @@ from .shared import BLOBS, Store, blobs, joined, reduced, shared_folder, shards_
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 GEAR = _RANDOM.integers(0, 2**16, 256, dtype=np.uint16)
 WINDOW = 16
+#: Bytes that an end moves on at most to come to white space.
+REACH = 48
 #: Stretches that a task holds before it passes them on.
 HELD = 2_000_000
 
@@ -44,10 +46,11 @@ def chunks(data: np.ndarray, off: np.ndarray, least: int = 16, bits: int = 4, mo
     doc = np.searchsorted(off, marks - 1, "right") - 1
     inside = marks - off[doc] >= WINDOW  # else the hash has bytes of the document before
     marks, doc = marks[inside], doc[inside]
-    stops = np.append(np.flatnonzero(SPACE[data]) + 1, n)
-    marks = stops[np.minimum(np.searchsorted(stops, marks), len(stops) - 1)]
-    marks = np.unique(marks[marks <= off[doc + 1]]).tolist()
     leads = (data & 0xC0) != 0x80
+    stops = np.append(np.flatnonzero(SPACE[data]) + 1, n)
+    stops = np.minimum(stops[np.searchsorted(stops, marks)], off[doc + 1])
+    starts = np.append(np.flatnonzero(leads), n)
+    marks = np.unique(np.where(stops - marks <= REACH, stops, starts[np.searchsorted(starts, marks)])).tolist()
     ends: list[int] = []
     first = [0]
     k, many = 0, len(marks)

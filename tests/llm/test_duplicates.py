@@ -162,6 +162,21 @@ def test_chunks_of_several_documents_side_by_side_are_no_passage(spark):
     assert whole in rows[-1][1] and whole not in got[11]["text"]
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0xE01, 0xE2F))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_text_without_spaces(spark, letters):
+    import random
+
+    rnd = random.Random(5)
+    fresh = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    text = fresh(4000)
+    a, b = pieces(text), pieces(fresh(7) + text)
+    assert all(p.decode() for p in a) and b"".join(a).decode() == text and len(set(a) & set(b)) > 0.95 * len(a)
+    passage = fresh(150)
+    rows = [(i, fresh(90 + 7 * i) + passage + fresh(80)) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(passage[60:-60] not in got[i] and got[i][:50] == rows[i][1][:50] for i in (1, 2))
+
+
 def test_dedup_without_rows(none):
     assert chunk_dedup.dedup_substrings(none).collect() == []
 

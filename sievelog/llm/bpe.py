@@ -1,9 +1,12 @@
-"""Byte-level BPE by corpus-level merge replay, and the id streams that the other operators need.
+"""Byte-level BPE by corpus-level merge replay, and the id streams that packing needs.
 
-The distinct pre-tokens of a block of documents are laid out side by side as their bytes. An inverted index leads from each
-token pair (by the rank of its merge) to its positions in that layout; merges are replayed in rank order, each on all its
-positions at once, and only the two neighbours of a merged position are looked up and indexed anew. The words don't touch
-each other, so a block gives what the whole corpus would. A worker keeps what it has encoded, up to KEPT pre-tokens.
+The distinct pre-tokens of the corpus are gathered by shards of their hashes (``vocabulary``). Those of a shard are laid out
+side by side as their bytes. An inverted index leads from each token pair (by the rank of its merge) to its positions in that
+layout; merges are replayed in rank order, each on all its positions at once, and only the two neighbours of a merged position
+are looked up and indexed anew. Documents then look up the ids of their pre-tokens.
+
+``blocks`` does the same with the distinct pre-tokens of a block of documents, without a shuffle, for operators that need the
+ids in passing. The words don't touch each other, so a block gives what the whole corpus would.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from .arrays import positions, sliced, span_hashes
 from .pretokens import pieces
+from .vocabulary import Vocabulary, special_documents
 
 #: Bytes of text in a block, of which the distinct pre-tokens are encoded together.
 BLOCK_BYTES = 32_000_000
@@ -89,7 +93,7 @@ class Merges:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def reset(self) -> None:
-        self.kept = np.zeros(0, np.uint64)
+        self.kept, self.kept_check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.kept_at, self.kept_n, self.kept_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -217,14 +221,15 @@ class Merges:
             ids = ids[keep]
         return ids, counts
 
-    def learn(self, hashes: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
-        """Encodes words that aren't kept yet; ``hashes`` are distinct."""
+    def learn(self, hashes: np.ndarray, check: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Encodes words that aren't kept yet; ``hashes`` are distinct, ``check`` is 64 bits more of each word."""
         if not len(hashes):
             return
         ids, counts = self.encoded(flat, lens)
         at = len(self.kept_ids) + np.cumsum(counts) - counts
         hashes = np.concatenate([self.kept, hashes])
         order = np.argsort(hashes)
+        self.kept_check = np.concatenate([self.kept_check, check])[order]
         self.kept, self.kept_at, self.kept_n = hashes[order], np.concatenate([self.kept_at, at])[order], np.concatenate([self.kept_n, counts])[order]
         self.kept_ids = np.concatenate([self.kept_ids, ids])
 
@@ -276,77 +281,77 @@ def merges(path: str) -> Merges:
 
 
 class Block:
-    """Documents with the pre-tokens of each as numbers of distinct ones."""
+    """Documents with the pre-tokens of each as numbers of distinct ones. Words are told apart by 128 bits: documents with a
+    word whose first 64 are another word's too are left to the library, as are those with a special token's text."""
 
     def __init__(self, table: Merges, columns: list[str]):
         self.table, self.columns = table, columns
         self.rows: list[pa.RecordBatch] = []
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
         self.codes: list[tuple[np.ndarray, np.ndarray]] = []  # of a slice's pre-tokens: numbers of distinct hashes, and those
         self.firsts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.own: dict[int, np.ndarray] = {}  # ids by the library, by row
-        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n = self.bytes = 0
+        self.special: list[np.ndarray] = []
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.clash: list[np.ndarray] = []
+        self.bytes = 0
 
     def add(self, rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> None:
-        starts, ends, first, left = pieces(data, off)
-        for special in self.table.added:
-            raw, mark, at = data.tobytes(), special.encode(), -1
-            while (at := raw.find(mark, at + 1)) >= 0:
-                left[np.searchsorted(off, at, "right") - 1] = True
-        for d in np.flatnonzero(left).tolist():
-            self.own[self.n + d] = np.array(self.table.library(data[off[d] : off[d + 1]].tobytes().decode()), np.int32)
-        hashes = span_hashes(data, starts, ends)
-        if left.any():
-            keep = np.repeat(~left, np.diff(first))
-            hashes, starts, ends = hashes[keep], starts[keep], ends[keep]
-            first = np.concatenate([[0], np.cumsum(np.where(left, 0, np.diff(first)))])
+        starts, ends, first = pieces(data, off)
+        hashes, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
         codes, distinct = pd.factorize(hashes)
         here = np.empty(len(distinct), np.int64)
         here[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        _, known = self.table.known(distinct)
+        self.clash.append(hashes[check != check[here][codes]])
+        i, known = self.table.known(distinct)
+        if known.any():
+            self.clash.append(distinct[known][self.table.kept_check[i[known]] != check[here][known]])
         new, here = distinct[~known], here[~known]
         lens = ends[here] - starts[here]
         index, _, _ = positions(starts[here], lens)
-        self.new.append((new, data[index], lens))
+        self.new.append((new, check[here], lens, data[index]))
         self.rows.append(rows.select(self.columns))
+        self.texts.append((data, off))
         self.codes.append((codes.astype(np.int32), distinct))
-        self.firsts.append(np.diff(first))
-        self.sizes.append(np.diff(off))
-        self.n += rows.num_rows
+        self.firsts.append(first)
+        self.special.append(special_documents(self.table.added, data, off))
         self.bytes += len(data)
 
     def finish(self) -> None:
         """Encodes the distinct pre-tokens that are new."""
-        hashes = np.concatenate([x[0] for x in self.new])
-        lens = np.concatenate([x[2] for x in self.new])
-        flat = np.concatenate([x[1] for x in self.new])
-        distinct, at = np.unique(hashes, return_index=True)
+        hashes, check, lens, flat = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        distinct, at, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        self.clash.append(hashes[check != check[at][codes]])
         begin = np.cumsum(lens) - lens
         index, _, _ = positions(begin[at], lens[at])
         self.new = []
-        self.table.learn(distinct, flat[index], lens[at])
+        self.table.learn(distinct, check[at], flat[index], lens[at])
 
     def ids(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
         """For each slice: the rows, the ids of its documents one after the other, where each document's begin (one more entry), and their bytes."""
-        t, at = self.table, 0
-        for rows, (codes, distinct), per, sizes in zip(self.rows, self.codes, self.firsts, self.sizes, strict=True):
+        t, clash = self.table, np.concatenate(self.clash)
+        for rows, (data, off), (codes, distinct), first, special in zip(self.rows, self.texts, self.codes, self.firsts, self.special, strict=True):
             i, _ = t.known(distinct)
             n = t.kept_n[i][codes]
             index, _, _ = positions(t.kept_at[i][codes], n)
             ids = t.kept_ids[index]
-            total = np.concatenate([[0], np.cumsum(n)])
-            first = np.concatenate([[0], np.cumsum(per)])
-            begin = total[first]
-            if own := [d for d in range(rows.num_rows) if at + d in self.own]:
-                parts = [self.own[at + d] if at + d in self.own else ids[begin[d] : begin[d + 1]] for d in range(rows.num_rows)]
-                ids, begin = np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            at += rows.num_rows
-            yield rows, ids, begin, sizes
+            begin = np.concatenate([[0], np.cumsum(n)])[first]
+            if len(clash) and (bad := np.isin(distinct, clash)[codes]).any():
+                special = np.union1d(special, np.searchsorted(first, np.flatnonzero(bad), "right") - 1)
+            ids, begin = with_library(t.library, ids, begin, special, data, off)
+            yield rows, ids, begin, np.diff(off)
         if len(t.kept) > KEPT:
             t.reset()
 
 
+def with_library(library, ids: np.ndarray, begin: np.ndarray, some: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a slice, those of ``some`` documents as the library gives them."""
+    if not len(some):
+        return ids, begin
+    own = {d: np.array(library(data[off[d] : off[d + 1]].tobytes().decode()), np.int32) for d in some.tolist()}
+    parts = [own[d] if d in own else ids[begin[d] : begin[d + 1]] for d in range(len(off) - 1)]
+    return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def blocks(batches: Iterator[pa.RecordBatch], path: str, columns: list[str], column: str = "text") -> Iterator[Block]:
     table = merges(path)
     block = Block(table, columns)
@@ -356,42 +361,44 @@ def blocks(batches: Iterator[pa.RecordBatch], path: str, columns: list[str], col
             block.finish()
             yield block
             block = Block(table, columns)
-    if block.n:
+    if block.rows:
         block.finish()
         yield block
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Ids and decoded bytes of every whole text: (id, token_ids array<int>, decoded binary). Null text: as empty."""
+    """Ids and decoded bytes of every whole text: (id, token_ids array<int>, decoded binary).
+
+    Null text: as empty. Equal rows give equal rows each; an empty table gives none; other columns aren't looked at. A long
+    text is one row of one task.
+    """
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, token_ids array<int>, decoded binary"
+    known = Vocabulary(docs, path, text_column, keep_ids=True)
 
     def run(batches):
-        for block in blocks(batches, path, [id_column], text_column):
-            for rows, ids, begin, _ in block.ids():
-                raw, at = block.table.decoded(ids)
-                cut = np.append(at, len(raw))[begin]
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())), pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])], [id_column, "token_ids", "decoded"])
+        for rows, ids, begin in known.ids_of(batches, text_column):
+            raw, at = merges(path).decoded(ids)
+            cut = np.append(at, len(raw))[begin]
+            yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())), pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])], [id_column, "token_ids", "decoded"])
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text; the ids themselves don't leave the task.
-
-    Null text is as empty, equal rows give equal rows each, and columns besides the two named are not looked at.
-    """
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text; the ids themselves don't leave the task. Odd rows as in
+    ``encode_documents``."""
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    known = Vocabulary(docs, path, text_column, keep_ids=True)
 
     def run(batches):
-        for block in blocks(batches, path, [id_column], text_column):
-            for rows, ids, begin, _ in block.ids():
-                raw, at = block.table.decoded(ids)
-                cut = np.append(at, len(raw))[begin].tolist()
-                wide, edge = np.ascontiguousarray(ids, "<u4").tobytes(), (begin * 4).tolist()
-                plain = raw.tobytes()
-                a = [hashlib.sha256(wide[edge[d] : edge[d + 1]]).hexdigest() for d in range(rows.num_rows)]
-                b = [hashlib.sha256(plain[cut[d] : cut[d + 1]]).hexdigest() for d in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(np.diff(begin), pa.int64()), pa.array(a), pa.array(b)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for rows, ids, begin in known.ids_of(batches, text_column):
+            raw, at = merges(path).decoded(ids)
+            cut = np.append(at, len(raw))[begin].tolist()
+            wide, edge = np.ascontiguousarray(ids, "<u4").tobytes(), (begin * 4).tolist()
+            plain = raw.tobytes()
+            a = [hashlib.sha256(wide[edge[d] : edge[d + 1]]).hexdigest() for d in range(rows.num_rows)]
+            b = [hashlib.sha256(plain[cut[d] : cut[d + 1]]).hexdigest() for d in range(rows.num_rows)]
+            yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(np.diff(begin), pa.int64()), pa.array(a), pa.array(b)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 

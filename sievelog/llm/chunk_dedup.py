@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides where chunks end, so that equal passages have equal chunks wherever they
-stand; ends move on to the next white space, so that words stay whole. Of each digest the first chunk of the corpus stays
-(smallest document id, then position). Others are cut out where they lie side by side over at least ``least`` bytes: a
-short repetition alone is no passage.
+stand; ends move on to the next white space, so that words stay whole. Of each stretch of chunks of at least ``least`` bytes,
+told apart by 128 bits, the first in the corpus stays (smallest document id, then position); the others are cut out. A short
+repetition alone is no passage. A task passes on a stretch once, with the place of its first occurrence and whether there
+were more, so a passage that a third of all documents have is one entry from each flush of a task.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrays import SPACE, mixed, sliced, span_hashes
-from .shared import BLOBS, Store, blobs, joined, reduced, shared_folder, shards_for
+from .shared import BLOBS, Store, blobs, joined, shared_folder, shards_for
 
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 GEAR = _RANDOM.integers(0, 2**16, 256, dtype=np.uint16)
 WINDOW = 16
+#: The odd number of digests, and its inverse modulo 2^64.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes that an end moves on at most to come to white space.
 REACH = 48
 #: Stretches that a task holds before it passes them on.
@@ -37,7 +41,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, off: np.ndarray, least: int = 16, bits: int = 4, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def chunks(data: np.ndarray, off: np.ndarray, least: int = 8, bits: int = 3, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends of all documents, in order, and the first chunk of each document (one more entry at the end)."""
     n = len(data)
     if not n:
@@ -73,38 +77,51 @@ def chunks(data: np.ndarray, off: np.ndarray, least: int = 16, bits: int = 4, mo
 
 
 def stretches(begins: np.ndarray, ends: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last chunk of the shortest stretches of ``least`` bytes or more, within a document, from and up to each chunk.
+    """First and last chunk of the shortest stretch of ``least`` bytes or more from each chunk on, within a document.
 
-    Any run of that size is the union of those inside it: one from its first chunk on, one up to its last."""
-    per = np.diff(first)
-    head, past = np.repeat(first[:-1], per), np.repeat(first[1:], per)  # of the chunk's document
-    chunk = np.arange(len(ends))
+    A run of that size is the union of those inside it but for what is left of its last chunks, less than one chunk."""
+    past = np.repeat(first[1:], np.diff(first))  # of the chunk's document
     to = np.searchsorted(ends, begins + least)
-    fits = to < past
-    since = np.searchsorted(begins, ends - least, "right") - 1
-    back = since >= head
-    pairs = np.unique(np.concatenate([chunk[fits], since[back]]) << 32 | np.concatenate([to[fits], chunk[back]]))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    fits = np.flatnonzero(to < past)
+    return fits, to[fits]
+
+
+def digests(own: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Of each stretch 64 bits, the same wherever it stands: differences of sums of chunk hashes times powers of an odd number."""
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(own), _STEP)]))
+    back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(own), _BACK)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:-1])])
+    return mixed((total[to + 1] - total[at]) * back[at] + (to - at).astype(np.uint64))
+
+
+def first_of_each(keys, check, ids, place, many):
+    """Of equal stretches the first occurrence (document id, then place), and whether there are more."""
+    order = np.lexsort((place, ids, check, keys))
+    keys, check, ids, place, many = (x[order] for x in (keys, check, ids, place, many))
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])])
+    at = np.flatnonzero(new)
+    several = (np.diff(np.append(at, len(keys))) > 1) | np.logical_or.reduceat(many, at)
+    return keys[at], check[at], ids[at], place[at], several
 
 
 class Repeated:
     """Digests of stretches that the corpus has more than once, with the place of the first."""
 
     def __init__(self, docs: DataFrame, least: int, id_column: str, text_column: str):
-        shards = shards_for(docs)
-        store = self.store = Store(shared_folder(docs.sparkSession, "chunks"), shards, ("doc", "place"))
+        shards = shards_for(docs.select(id_column, text_column))
+        store = self.store = Store(shared_folder(docs.sparkSession, "chunks"), shards, ("doc", "place", "check"))
 
         def gather(batches):
             held, n = [], 0
 
             def give():
-                keys, ids, place = joined(held)
-                order = np.argsort(keys, kind="stable")
-                return blobs(shards, keys[order], ids[order], place[order].astype(np.uint32))
+                keys, check, ids, place, many = first_of_each(*joined(held))
+                return blobs(shards, keys, check, ids, place.astype(np.uint32), many)
 
             for rows, data, off in sliced(batches, text_column):
-                held.append(spans(rows, data, off, least, id_column)[:3])
-                n += len(held[-1][0])
+                keys, check, ids, place = spans(rows, data, off, least, id_column)[:4]
+                held.append([keys, check, ids, place, np.zeros(len(keys), bool)])
+                n += len(keys)
                 if n > HELD:
                     yield from give()
                     held, n = [], 0
@@ -112,53 +129,47 @@ class Repeated:
                 yield from give()
 
         def fold(shard, parts):
-            keys, ids, place = joined(parts)
-            order = np.lexsort((place, ids, keys))
-            keys, ids, place = keys[order], ids[order], place[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            many = new & ~np.append(new[1:], True)
-            store.write(shard, keys[many], ids[many], place[many])
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "distinct": [int(new.sum())], "repeated": [int(many.sum())]})
+            keys, check, ids, place, many = first_of_each(*joined(parts))
+            store.write(shard, keys[many], ids[many], place[many], check[many])
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [int(many.sum())]})
 
-        reduced(docs.select(id_column, text_column).mapInArrow(gather, BLOBS), fold, "shard int, distinct long, repeated long").agg({"repeated": "sum"}).collect()
+        store.fill(docs.select(id_column, text_column).mapInArrow(gather, BLOBS), fold)
 
 
 def spans(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, least: int, id_column: str):
-    """Of each stretch: digest, document id (null as the least), number of its first chunk in its document, first and last
-    chunk; of each chunk begin and end; and the first chunk of each document."""
+    """Of each stretch: both halves of its digest, document id (null as the least), number of its first chunk in its document,
+    first and last chunk; of each chunk begin and end; and the first chunk of each document."""
     ends, first = chunks(data, off)
     per = np.diff(first)
     begins = np.empty(len(ends), np.int64)
     begins[1:] = ends[:-1]
     begins[first[:-1][per > 0]] = off[:-1][per > 0]
-    own = span_hashes(data, begins, ends)
+    own, more = span_hashes(data, begins, ends), span_hashes(data, begins, ends, 1)
     at, to = stretches(begins, ends, first, least)
     doc = np.repeat(np.arange(len(per)), per)[at]
     ids = rows.column(id_column).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-    keys = np.zeros(len(at), np.uint64)
-    for i in range(int((to - at).max(initial=-1)) + 1):
-        some = at + i <= to
-        keys[some] = mixed(keys[some] + own[at[some] + i] + np.uint64(i + 1))
-    return keys, ids, at - first[doc], (at, to), (begins, ends), first
+    return digests(own, at, to), digests(more, at, to), ids, at - first[doc], (at, to), (begins, ends), first
 
 
-def dedup_substrings(docs: DataFrame, least: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = 200, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of ``docs`` with the repeated passages of at least ``least`` bytes cut out of the text, and three more:
     ``n_chunks``, ``n_cut`` (chunks cut out) and ``cut_spans`` (array of struct<begin, length> in code points of the text as
     it was).
 
-    One occurrence of everything stays in the corpus. Whole copies lose their text but not their row; null stays null. Rows
-    that share an id count as one document after another with the same places, so the copies among them stay whole: give
-    unique ids. Columns of ``docs`` with the names of the three give way.
+    200 bytes are about 35 words: what is sure to be found of a passage of over 50, whose ends may lie inside chunks. One
+    occurrence of everything stays in the corpus. Whole copies lose their text but not their row; null stays null, and a text
+    without a passage, of whatever length, stays as it is. An empty table gives none. Rows that share an id count as one
+    document after another with the same places, so the copies among them stay whole: give unique ids, whole numbers. Columns
+    of ``docs`` with the names of the three give way.
     """
     docs = docs.drop("n_chunks", "n_cut", "cut_spans")
     store = Repeated(docs, least, id_column, text_column).store
     names = docs.columns
 
     def run(batches):
-        for rows, data, off in sliced(batches, text_column):
-            keys, ids, place, (from_, to), (begins, ends), first = spans(rows, data, off, least, id_column)
-            owner, at = store.find(keys, np.int64(-1), np.uint32(0xFFFFFFFF))
+        for rows, data, off in sliced(batches, text_column, store.slice_bytes):
+            keys, check, ids, place, (from_, to), (begins, ends), first = spans(rows, data, off, least, id_column)
+            owner, at = store.find(keys, np.int64(-1), np.uint32(0xFFFFFFFF), check=check)
             dup = (at != np.uint32(0xFFFFFFFF)) & ~((owner == ids) & (at == place))
             doc = np.repeat(np.arange(rows.num_rows), np.diff(first))
             depth = np.bincount(from_[dup], minlength=len(ends) + 1) - np.bincount(to[dup] + 1, minlength=len(ends) + 1)

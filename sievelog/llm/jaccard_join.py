@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, mixed, sliced, span_hashes, windows, words
 from .components import components
-from .kneser_ney import Tally
 from .repetition import sums
-from .shared import BLOBS, Store, blobs, counted, joined, mapped, reduced, save, shared_folder, shards_for, summed
+from .shared import BLOBS, Store, Tally, blobs, counted, joined, mapped, reduced, remove, save, shared_folder, shards_for, summed
 
 #: Bits of a token's hash that are counted. Fewer would only make some tokens look more frequent than they are.
 COUNTED = np.uint64(0xFFFFFFFFFFF00000)
@@ -74,8 +73,8 @@ RARE = 64
 LIGHT = 24
 #: Keys of so many sets at most give their pairs at once.
 SMALL = 8
-#: Sets whose names go together to a task.
-CHUNK = 2048
+#: Sets whose names go together to a task, to be compared with the names of so many open ones.
+CHUNK, OPENED = 2048, 128
 
 
 class Sets:
@@ -100,6 +99,10 @@ class Sets:
         return out, size
 
 
+def filled(shard: int, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n]})
+
+
 def alike(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -124,9 +127,13 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
     """(id, n_shingles, component_id) of every row: the size of its set of word shingles, and the smallest id that links
     between sets of a Jaccard likeness of ``percent`` or more lead to, its own included.
 
-    Null, empty and wordless texts have no shingles and are linked with nothing. Rows that share an id are one document with
-    the links of all its texts. A null id gives a null component. Other columns aren't looked at.
+    Null, empty and wordless texts have no shingles and are linked with nothing; texts of any length are taken whole. Rows
+    that share an id and a text are each as one; if their texts differ, the links between equal sets are those of all texts,
+    and near ones those of any one of them. A null id gives a null component, an empty table no rows. Other columns aren't
+    looked at.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent has to be over 0 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     shards = shards_for(docs)
@@ -157,27 +164,27 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
         keys, n = summed(*joined(parts))
         many = n > 1
         counts.write(shard, keys[many], n[many].astype(np.uint32))
-        yield pa.RecordBatch.from_pydict({"n": [int(many.sum())]})
+        yield filled(shard, int(many.sum()))
 
-    reduced(first.filter("shard is not null").select("shard", "payload"), fold_counts, "n long").agg({"n": "sum"}).collect()
+    counts.fill(first.filter("shard is not null"), fold_counts)
 
     # 2. Equal sets
     classes = meta.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = Store(f"{root}/copies", shards, ("rep", "copies"))
+    copies = Store(f"{root}/copies", shards, ("rep", "copies", "d2"))
 
     def copied(batches):
         for b in batches:
-            d1, rep, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "rep", "copies"))
+            d1, rep, n, d2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "rep", "copies", "d2"))
             order = np.argsort(d1.view(np.uint64))
-            yield from blobs(shards, d1.view(np.uint64)[order], rep[order], n[order])
+            yield from blobs(shards, d1.view(np.uint64)[order], rep[order], n[order], d2.view(np.uint64)[order])
 
     def fold_copies(shard, parts):
-        d1, rep, n = joined(parts)
+        d1, rep, n, d2 = joined(parts)
         order = np.argsort(d1)
-        copies.write(shard, d1[order], rep[order], n[order])
-        yield pa.RecordBatch.from_pydict({"n": [len(d1)]})
+        copies.write(shard, d1[order], rep[order], n[order], d2[order])
+        yield filled(shard, len(d1))
 
-    reduced(classes.filter("copies > 1").mapInArrow(copied, BLOBS), fold_copies, "n long").agg({"n": "sum"}).collect()
+    copies.fill(classes.filter("copies > 1").mapInArrow(copied, BLOBS), fold_copies)
 
     # 3. Index entries of one set of each class, and the sets that have any
     folder = f"{root}/sets"
@@ -187,10 +194,11 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
         held, length = [], 0
         entries: list[list[np.ndarray]] = []
         index: list[tuple] = []
-        for rows, data, off in sliced(batches):
+        for rows, data, off in sliced(batches, limit=counts.slice_bytes):
             tokens, first = shingles(data, off, words_each)
             ids = rows.column("id").fill_null(-1).to_numpy(zero_copy_only=False)
-            rep, same = copies.find(digests(tokens, first)[0], np.int64(-1), np.int64(1))
+            d1, d2 = digests(tokens, first)
+            rep, same = copies.find(d1, np.int64(-1), np.int64(1), check=d2)
             size = np.diff(first)
             use = (size > 0) & rows.column("id").is_valid().to_numpy(zero_copy_only=False) & ((same == 1) | (rep == ids))
             keep = np.repeat(use, size)
@@ -199,14 +207,15 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
             count[keep] = seen
             own = count <= np.repeat(same, size)  # in no other class
             unique = sums(own, first)
-            for d in np.flatnonzero(use & (unique < size // 4 + 2)).tolist():
+            for d in np.flatnonzero(use & (unique < size * (100 - percent) // 100 + 2)).tolist():
                 a, b = first[d], first[d + 1]
                 other = ~own[a:b]
                 t, c = tokens[a:b][other], count[a:b][other]
                 n, u = int(size[d]), int(unique[d])
                 order = np.lexsort((t, c))
-                most = (7 * (n - (u + np.arange(len(t))) + 1)) // 3 - n  # the largest set that this place in the order leads to
-                many = int(np.count_nonzero(4 * most >= 3 * n))
+                # the largest set that this place in the order leads to, with one token shared before it
+                most = ((100 + percent) * (n - (u + np.arange(len(t))) + 1)) // percent - n
+                many = int(np.count_nonzero(100 * most >= percent * n))
                 if not many:
                     continue
                 prefix, often, most = t[order[:many]], c[order[:many]] > RARE, most[:many]
@@ -214,8 +223,10 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
                 found = [(prefix[rare], most[rare], 0)]
                 at = np.flatnonzero(often)
                 if len(at):
-                    found.append((mixed(prefix[at] ^ np.uint64(0xF4E9)), most[at], 1 if len(at) <= LIGHT else 2))
-                    if 1 < len(at) <= LIGHT:
+                    # a small set may be alike with one token shared, which no pair leads to
+                    light = len(at) <= LIGHT and percent * (n + -(-percent * n // 100)) > 100 + percent
+                    found.append((mixed(prefix[at] ^ np.uint64(0xF4E9)), most[at], 1 if light else 2))
+                    if light and len(at) > 1:
                         i, j = np.triu_indices(len(at), 1)
                         x, y = prefix[at[i]], prefix[at[j]]
                         found.append((mixed(np.minimum(x, y) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(x, y)), most[at[j]], 0))
@@ -246,9 +257,9 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
         key, *values = joined(parts)
         key, at = np.unique(key, return_index=True)
         index.write(shard, key, *(v[at] for v in values))
-        yield pa.RecordBatch.from_pydict({"n": [len(key)]})
+        yield filled(shard, len(key))
 
-    reduced(entries.filter("kind = 1").select("shard", "payload"), fold_index, "n long").agg({"n": "sum"}).collect()
+    index.fill(entries.filter("kind = 1"), fold_index)
 
     # 4. Pairs of small keys, and of each large key its sets with its first one
     def fold_entries(shard, parts):
@@ -259,7 +270,7 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
         keys, node, n, most, kind = (x[~again] for x in (keys, node, n, most, kind))
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(begin, len(keys)))
-        first, second, large = [], [], []
+        first, second, large = [], [], []  # places of entries
         top = np.maximum.reduceat(kind, begin)
         use = (size > 1) & (top != 1)  # frequent tokens alone count where a set has too many for pairs
         for k in range(2, SMALL + 1):
@@ -267,35 +278,48 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
             for i in range(k):
                 for j in range(i + 1, k):
                     x, y = at + i, at + j
-                    ok = (n[x] <= most[y]) & (n[y] <= most[x]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & ~((kind[x] == 1) & (kind[y] == 1))
-                    first.append(node[x[ok]])
-                    second.append(node[y[ok]])
+                    ok = (n[x] <= most[y]) & (n[y] <= most[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ~((kind[x] == 1) & (kind[y] == 1))
+                    first.append(x[ok])
+                    second.append(y[ok])
                     large.append(np.zeros(int(ok.sum()), bool))
         for b, m in zip(begin[use & (size > SMALL)].tolist(), size[use & (size > SMALL)].tolist(), strict=True):
-            first.append(np.full(m - 1, node[b]))
-            second.append(node[b + 1 : b + m])
+            first.append(np.full(m - 1, b))
+            second.append(np.arange(b + 1, b + m))
             large.append(np.ones(m - 1, bool))
-        empty = np.zeros(0, np.int64)
-        pairs = pd.DataFrame({"a": np.concatenate([empty, *first]), "b": np.concatenate([empty, *second]), "large": np.concatenate([np.zeros(0, bool), *large])}).drop_duplicates()
+        x, y = (np.concatenate([np.zeros(0, np.int64), *p]) for p in (first, second))
+        pairs = pd.DataFrame({"a": node[x], "b": node[y], "na": n[x], "nb": n[y], "large": np.concatenate([np.zeros(0, bool), *large])}).drop_duplicates()
         yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    reduced(entries.filter("kind = 0").select("shard", "payload"), fold_entries, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large")).write.parquet(f"{root}/pairs")
+    found = reduced(entries.filter("kind = 0"), shards, fold_entries, "a long, b long, na int, nb int, large boolean")
+    found.groupBy("a", "b", "na", "nb").agg(F.max("large").alias("large")).write.parquet(f"{root}/pairs")
+    remove(f"{root}/entries")
     pairs = spark.read.parquet(f"{root}/pairs")
     width = max(8, shards // 2)
-    pairs.select("a", "b").repartition(width, "b").mapInArrow(lambda batches: verified(batches, sets, percent), "a long, b long").write.parquet(f"{root}/links")
+    # a candidate is verified where its second set is; of those with one first set, which may be many, any task takes a part
+    pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").repartition(width, "b").mapInArrow(lambda batches: verified(batches, sets, percent), "a long, b long").write.parquet(f"{root}/links")
     links = spark.read.parquet(f"{root}/links")
 
-    # 5. Large keys in which several components are left: sets outside the largest are compared with all others there
-    clusters = components(pairs.filter("large").select("a", "b")).withColumnRenamed("component", "cluster")
+    # 5. Large keys in which several components are left: sets outside the largest are compared with all others there whose
+    #    size allows it. Sizes fall into bands by the likeness, so that a set's partners are in its own band or the next ones.
+    large = pairs.filter("large")
+    sized = large.selectExpr("a as id", "na as n").union(large.selectExpr("b as id", "nb as n")).distinct()
     linked = components(links)
-    labelled = clusters.join(linked, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
-    labelled.write.parquet(f"{root}/clusters")
+    clusters = components(large.select("a", "b")).withColumnRenamed("component", "cluster")
+    labelled = clusters.join(sized, "id").join(linked, "id", "left").select("id", "cluster", "n", F.coalesce("component", "id").alias("component"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent) if percent < 100 else 1e-9))
+    labelled.withColumn("band", band.cast("long")).write.parquet(f"{root}/clusters")
     labelled = spark.read.parquet(f"{root}/clusters")
-    parts = labelled.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter("kinds > 1")
-    rest = labelled.join(main, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)))
-    every = rest.groupBy("cluster", "chunk").agg(F.collect_list(F.struct("id", "component")).alias("sets"))
-    opened = rest.filter("component <> main").groupBy("cluster", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 128)).alias("part")).agg(F.collect_list(F.struct("id", "component")).alias("open"))
+    parts = labelled.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("many"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("many", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
+    rest = labelled.join(main, "cluster")
+    chunks = rest.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / OPENED).alias("parts"))
+    spread = rest.join(chunks, ["cluster", "band"])
+    one = F.struct("id", "component")
+    every = spread.groupBy("cluster", "band", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")).agg(F.collect_list(one).alias("sets"))
+    opened = spread.filter("component <> main").groupBy("cluster", "band", F.pmod(F.xxhash64("id"), "parts").alias("part")).agg(F.collect_list(one).alias("open"))
+    # an open part goes to every chunk of the bands that its sizes allow, each a key of its own
+    near = opened.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).join(chunks.select("cluster", "band", "chunks"), ["cluster", "band"])
+    asked = near.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("cluster", "band", "chunk", "open")
 
     def compare(batches):
         for batch in batches:
@@ -305,9 +329,9 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
                 lens = np.array([len(x) for x in held])
                 every_token, codes = np.unique(np.concatenate(held), return_inverse=True)
                 begin = np.cumsum(lens) - lens
-                asked, size = sets.get(np.array([s["id"] for s in row["open"]], np.int64))
+                own_sets, size = sets.get(np.array([s["id"] for s in row["open"]], np.int64))
                 a, b = [], []
-                for s, own, n in zip(row["open"], asked, size.tolist(), strict=True):
+                for s, own, n in zip(row["open"], own_sets, size.tolist(), strict=True):
                     mark = np.zeros(len(every_token), bool)
                     i = np.minimum(np.searchsorted(every_token, own), len(every_token) - 1)
                     mark[i[every_token[i] == own]] = True
@@ -318,9 +342,11 @@ def link_documents(docs: DataFrame, percent: int = 75, words_each: int = 5, id_c
                     b += nodes[found[one]].tolist()
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = opened.join(every, "cluster").repartition(width, "cluster", "part", "chunk").select("open", "sets").mapInArrow(compare, "a long, b long")
+    more = asked.join(every, ["cluster", "band", "chunk"]).select("open", "sets").mapInArrow(compare, "a long, b long")
     more.write.parquet(f"{root}/more")
     final = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(spark.read.parquet(f"{root}/more")))
+    for done in ("sets", "counts", "copies", "index", "pairs", "links", "clusters"):
+        remove(f"{root}/{done}")
 
     # 6. Back to all rows
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -348,9 +374,9 @@ def keep_first(docs: DataFrame, percent: int = 75, words_each: int = 5, id_colum
     def fold(shard, parts):
         keys = np.unique(joined(parts)[0])
         gone.write(shard, keys, np.ones(len(keys), np.uint8))
-        yield pa.RecordBatch.from_pydict({"n": [len(keys)]})
+        yield filled(shard, len(keys))
 
-    reduced(later.mapInArrow(hashed, BLOBS), fold, "n long").agg({"n": "sum"}).collect()
+    gone.fill(later.mapInArrow(hashed, BLOBS), fold)
 
     def run(batches):
         for b in batches:

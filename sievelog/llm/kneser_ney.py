@@ -1,15 +1,15 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped into memory to score.
-
-Training has two rounds. The first counts words and so numbers them (a word's number is its place among the sorted hashes).
-The second counts pairs of numbers, which fit a 64-bit key; keys go through a bijection first, so that shards are even
-however frequent a word is. Each shard of pairs leaves its sorted keys and counts, and passes on what its pairs add to their
-two words: totals and numbers of followers by count, and numbers of different predecessors. Those sums, by ranges of word
-numbers, are arrays with a place for each word. Scoring looks up the distinct words and pairs of a slice of text.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, mapped into memory to score.
+
+The first round counts words and so numbers them: a word's number is its place among the sorted hashes. The second counts
+n-grams of the highest order. A trigram (u, v, w) goes to a shard of its middle word v, so that all of a context (u, v) and
+all that stands before (v, w) meet there: the shard stores counts and contexts, and passes on the pairs (v, w) with the
+number of different words before them. Where v is frequent, its trigrams are spread over several shards by u and w, and
+sums of contexts and pairs are made in the next exchange. Pairs go to shards of their hash; what they add to their two words
+is summed in a last exchange. Scoring looks up the words, pairs and trigrams of a slice of text.
 """
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,51 +18,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, mixed, packed, sliced, span_hashes, unpacked, words
+from .arrays import LOWER, mixed, sliced, span_hashes, words
 from .repetition import sums
-from .shared import BLOBS, Store, blobs, counted, joined, mapped, reduced, save, shared_folder, shards_for, summed
+from .shared import BLOBS, Compact, Store, Tally, blobs, counted, joined, reduced, shared_folder, shards_for, summed
 
 #: The hash that stands for the end of a text (no word's, but with the chance of any 64-bit collision).
 END = np.uint64(0xE0D0_F7E7_5EED_0001)
-#: Distinct keys that a task holds before it passes them on.
-HELD = 1_200_000
-FLUSH = 1_600_000
+#: A middle word's trigrams are spread over one shard more for each so many occurrences.
+HOT = 1_000_000
+#: N-grams that a task holds before it adds equal ones up, and distinct ones before it passes them on.
+FLUSH, HELD = 1_600_000, 1_000_000
+#: What the second exchange carries.
+PAIR, CONTEXT, COUNTS = range(3)
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """The inverse of ``mixed``."""
 
-    def unshift(y: np.ndarray, by: int) -> np.ndarray:
-        out = y
-        for _ in range(64 // by):
-            out = y ^ (out >> np.uint64(by))
-        return out
+def two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of numbers, of any size."""
+    return mixed(mixed(a.astype(np.uint64) + _A) * _B + b.astype(np.uint64))
 
-    x = unshift(x, 31) * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
-    x = unshift(x, 27) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
-    return unshift(x, 30)
 
+def three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mixed(two(a, b) * _A + c.astype(np.uint64) + _B)
 
-class Tally:
-    """Counts of keys within a task, passed on as shards' payloads once there are many."""
 
-    def __init__(self, shards: int):
-        self.shards, self.parts, self.n = shards, [], 0
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Routes of keys to shards, apart from the bits that look-ups use."""
+    return mixed(keys ^ _B)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray):
-        self.parts.append([keys, counts])
-        self.n += len(keys)
-        if self.n > FLUSH:
-            merged = list(summed(*joined(self.parts)))
-            self.parts, self.n = [merged], len(merged[0])
-            if self.n > HELD:
-                yield from self.flush()
 
-    def flush(self):
-        if self.parts:
-            keys, counts = summed(*joined(self.parts))
-            self.parts, self.n = [], 0
-            yield from blobs(self.shards, keys, counts.astype(np.uint32))
+def middle(u: np.ndarray, v: np.ndarray, w: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Routes of trigrams by their middle word and, if that has several shares, one of them."""
+    share = np.where(shares > 1, two(u, w) % shares.astype(np.uint64), np.uint64(0))
+    return two(v, share)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +67,14 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def before(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """The value of the token before each one; ``start`` before a document's first."""
+    out = np.empty(len(values), np.int64)
+    out[1:] = values[:-1]
+    out[first[:-1]] = start
+    return out
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """For counts of 0, 1, 2 and over: what is taken off, from how many keys have a count of 1 to 4."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -90,78 +87,126 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, min(max(d1, 0.05), 0.99), min(max(d2, 0.05), 1.95), min(max(d3, 0.05), 2.9)])
 
 
+def of_contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct contexts, the sums of their counts, and how many of those are 1, 2 and more."""
+    return summed(keys, counts.astype(np.uint64), *((counts == i).astype(np.uint32) for i in (1, 2)), (counts > 2).astype(np.uint32))
+
+
+def frequencies(counts: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(counts == i)) for i in (1, 2, 3, 4)]
+
+
+class _Numbered(Store):
+    """Words by hash with count and number; numbers run on from shard to shard."""
+
+    offsets: np.ndarray
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and their numbers from 1 on (-1: not in the training texts; 0 is for the start of a text)."""
+        count, number = self.find(hashes, np.int64(0), np.int64(-1))
+        shard = ((np.asarray(hashes, np.uint64) >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        return count, np.where(number >= 0, number + self.offsets[shard] + 1, -1)
+
+
 @dataclass
 class Model:
-    words: Store  # hash -> count
-    pairs: Store  # mixed (left + 1) << 32 | right -> count
-    folder: str  # of the arrays by word number
-    offsets: np.ndarray  # number of the first word of each shard of words
-    width: int  # word numbers in a file
+    order: int
+    share: int  # occurrences of a middle word for each shard that its trigrams are spread over
+    words: _Numbered
+    by_word: Store  # of a word as the left of pairs: total, pairs of count 1, 2, more; as the right: different words before it
+    pairs: Compact  # (left, right) -> count; of order 3: different words before the pair
+    contexts: Compact | None  # (u, v) -> total, trigrams of count 1, 2, more
+    hot: Compact | None  # the same, if v is frequent
+    trigrams: Compact | None
     tokens: int
     distinct: int
+    highest: np.ndarray  # discounts of trigrams
     followers: np.ndarray  # discounts of pairs
-    before: np.ndarray  # discounts of the numbers of predecessors
+    lowest: np.ndarray  # discounts of the numbers of predecessors
     kinds: int  # different pairs
     rest: float  # mass of the lowest order that goes to all words evenly
-    _open: dict
-
-    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, and their numbers (-1: not in the training texts)."""
-        count, place = self.words.find(hashes, np.int64(0), np.int64(-1))
-        return count, place
-
-    def of_word(self, name: str, numbers: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(numbers), np.int64)
-        part = numbers // self.width
-        for p in np.unique(part[numbers >= 0]).tolist():
-            if (p, name) not in self._open:
-                try:
-                    self._open[p, name] = mapped(f"{self.folder}/{p:06d}.{name}.npy")
-                except FileNotFoundError:
-                    self._open[p, name] = None
-            a = self._open[p, name]
-            if a is not None:
-                own = part == p
-                out[own] = a[numbers[own] - p * self.width]
-        return out
-
-    def lowest(self, numbers: np.ndarray) -> np.ndarray:
-        """Probabilities by the numbers of different predecessors."""
-        n = self.of_word("before", numbers + 1)
-        return np.maximum(n - self.before[np.minimum(n, 3)], 0) / max(self.kinds, 1) + self.rest / (self.distinct + 1)
 
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token: its count in training, and its log10 probability after the token before it."""
+        """Of each token: its count in training, and its log10 probability after the tokens before it."""
         codes, distinct = pd.factorize(hashes)
-        counts, numbers = self.numbers(distinct)
-        number = numbers[codes]
-        left = np.empty(len(number), np.int64)
-        left[1:] = np.where(number[:-1] >= 0, number[:-1] + 1, -1)
-        left[first[:-1]] = 0  # the start of a text
-        p = self.lowest(numbers)[codes]
-        ok = left >= 0
-        own, some = pd.factorize(left[ok])
-        total, f1, f2, f3 = (self.of_word(x, some) for x in ("total", "f1", "f2", "f3"))
-        has = total > 0
-        back = np.where(has, (self.followers[1] * f1 + self.followers[2] * f2 + self.followers[3] * f3) / np.maximum(total, 1), 1.0)
-        known = ok & (number >= 0)
-        keys = mixed(left[known].astype(np.uint64) << np.uint64(32) | number[known].astype(np.uint64))
-        which, pairs = pd.factorize(keys)
-        (n,) = self.pairs.find(pairs, np.int64(0))
-        seen = np.zeros(len(number), np.int64)
-        seen[known] = n[which]
-        higher = np.maximum(seen[ok] - self.followers[np.minimum(seen[ok], 3)], 0) / np.maximum(total, 1)[own]
-        p[ok] = higher + back[own] * p[ok]
-        return counts[codes], np.log10(p)
-
-
-def train(docs: DataFrame, text_column: str = "text") -> Model:
-    """Counts all texts of ``docs``. Null text: as empty, which still has an end."""
+        counts, numbers = self.words.numbers(distinct)
+        stats = np.array(self.by_word.find(mixed(numbers.astype(np.uint64)), *[np.int64(0)] * 5))
+        stats[:, numbers < 0] = 0
+        start = np.array([int(x[0]) for x in self.by_word.find(mixed(np.zeros(1, np.uint64)), *[np.int64(0)] * 5)])
+        seen = stats[4]
+        p = (np.maximum(seen - self.lowest[np.minimum(seen, 3)], 0) / max(self.kinds, 1) + self.rest / (self.distinct + 1))[codes]
+
+        # pairs: the last entry of each array of statistics is the start's, the entry before is no word's
+        place = before(codes, first, len(distinct))
+        table = np.concatenate([stats, start[:, None]], axis=1)
+        number = np.append(numbers, 0)
+        total, *f = (table[k][place] for k in range(4))
+        w, v = numbers[codes], number[place]
+        n = np.zeros(len(w), np.int64)
+        ask = np.flatnonzero((w > 0) & (v >= 0) & (total > 0))
+        keys = two(v[ask], w[ask])
+        which, some = pd.factorize(keys)
+        n[ask] = self.pairs.find(spread(some), some)[0][which]
+        p = self._with(p, n, total, f, self.followers)
+        if self.order == 2:
+            return counts[codes], np.log10(p)
+
+        # trigrams
+        u = number[before(place, first, len(distinct))]
+        shares = (1 + np.append(counts, 0) // self.share)[place]
+        known = np.flatnonzero((u >= 0) & (v >= 0))
+        context, route = two(u[known], v[known]), two(v[known], np.zeros(len(known), np.uint64))
+        which, some = pd.factorize(context)
+        at = np.empty(len(some), np.int64)
+        at[which] = np.arange(len(which))
+        hot = shares[known][at] > 1
+        found = np.zeros((4, len(some)), np.int64)
+        found[:, ~hot] = self.contexts.find(route[at][~hot], some[~hot])
+        found[:, hot] = self.hot.find(spread(some[hot]), some[hot])
+        total, *f = (np.zeros(len(w), np.int64) for _ in range(4))
+        for k, a in enumerate((total, *f)):
+            a[known] = found[k][which]
+        n = np.zeros(len(w), np.int64)
+        ask = np.flatnonzero((total > 0) & (w > 0))
+        n[ask] = self.trigrams.find(middle(u[ask], v[ask], w[ask], shares[ask]), three(u[ask], v[ask], w[ask]))[0]
+        return counts[codes], np.log10(self._with(p, n, total, f, self.highest))
+
+    @staticmethod
+    def _with(lower: np.ndarray, n: np.ndarray, total: np.ndarray, f: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+        """Probabilities of an order from those of the order below it; unchanged where the context is unknown."""
+        whole = np.maximum(total, 1)
+        back = (d[1] * f[0] + d[2] * f[1] + d[3] * f[2]) / whole
+        return np.where(total > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / whole + back * lower, lower)
+
+
+def _payloads(kind: int, made):
+    for b in made:
+        yield b.add_column(1, "kind", pa.array([kind] * b.num_rows, pa.int32()))
+
+
+def _row(shard: int, kind: int, n: int, numbers: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([None], pa.binary()), pa.array([n], pa.int64()), pa.array([numbers], pa.list_(pa.int64()))], ["shard", "kind", "payload", "n", "numbers"])
+
+
+def _wide(made):
+    """Payload rows in the schema of ``_row``."""
+    for b in made:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["shard", "kind", "payload", "n", "numbers"])
+
+
+LEVEL = "shard int, kind int, payload binary, n long, numbers array<long>"
+
+
+def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int = HOT) -> Model:
+    """Counts all texts of ``docs``; ``order``: 2 or 3 words. Null text: as empty, which still has an end. Repeated rows count
+    each; without rows every token is as likely as any other. Other columns aren't looked at."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     docs = docs.select(text_column)
     shards = shards_for(docs)
     root = shared_folder(spark, "kneser-ney")
-    words_ = Store(f"{root}/words", shards, ("count", "number"))
+    known = _Numbered(f"{root}/words", shards, ("count", "number"))
 
     def count_words(batches):
         tally = Tally(shards)
@@ -172,107 +217,143 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     def fold_words(shard, parts):
         keys, counts = summed(*joined(parts))
         counts = counts.astype(np.int64)
-        words_.write(shard, keys, counts.astype(np.min_scalar_type(int(counts.max()))), np.arange(len(keys), dtype=np.uint32))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "distinct": [len(keys)], "total": [int(counts.sum())]})
-
-    found = reduced(docs.mapInArrow(count_words, BLOBS), fold_words, "shard int, distinct long, total long").collect()
-    sizes = np.zeros(shards + 1, np.int64)
-    for r in found:
-        sizes[r["shard"] + 1] = r["distinct"]
-    offsets = np.cumsum(sizes)[:-1]
-    n_tokens, distinct = sum(r["total"] for r in found), int(sizes.sum())
-    _tidy(spark)
-
-    numbered = _Numbered(words_, offsets)
-    width = max(1, -(-(distinct + 1) // shards))
-    pairs = Store(f"{root}/pairs", shards, ("count",))
-    folder = f"{root}/by-word"
-
-    def count_pairs(batches):
-        tally = Tally(shards)
-        for _, data, off in sliced(batches, text_column):
-            hashes, first = tokens(data, off)
-            codes, some = pd.factorize(hashes)
-            number = numbered.find(some, np.int64(0), np.int64(-1))[1][codes]
-            left = np.empty(len(number), np.int64)
-            left[1:] = number[:-1] + 1
-            left[first[:-1]] = 0
-            yield from tally.add(*counted(mixed(left.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))))
-        yield from tally.flush()
-
-    def ranges(numbers, *values):
-        at = np.searchsorted(numbers, np.arange(shards + 1) * width)
-        for s in np.flatnonzero(at[1:] > at[:-1]).tolist():
-            yield s, packed(*(np.ascontiguousarray(v[at[s] : at[s + 1]]) for v in (numbers, *values)))
-
-    def fold_pairs(shard, parts):
-        keys, counts = summed(*joined(parts))
+        known.write(shard, keys, counts.astype(np.min_scalar_type(int(counts.max()))), np.arange(len(keys), dtype=np.uint32))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+
+    rows = known.fill(docs.mapInArrow(count_words, BLOBS), fold_words, ", total long")
+    known.offsets = np.cumsum(known.sizes) - known.sizes
+    n_tokens, distinct = sum(r["total"] for r in rows), int(known.sizes.sum())
+    kind_of_number = np.min_scalar_type(distinct + 1)
+
+    def numbered(data, off):
+        hashes, first = tokens(data, off)
+        codes, some = pd.factorize(hashes)
+        count, number = known.numbers(some)
+        return codes, np.append(number, 0), np.append(count, 0), first, len(some)
+
+    # the second round: n-grams of the highest order
+    pairs = Compact(f"{root}/pairs", shards, 1)
+    contexts, hot, trigrams = (Compact(f"{root}/{x}", shards, n) for x, n in (("contexts", 4), ("hot", 4), ("trigrams", 1)))
+
+    def merged(parts):
+        key, *rest, counts = joined(parts)
+        order_ = np.argsort(key)
+        key = key[order_]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return [key[at], *(x[order_[at]] for x in rest), np.add.reduceat(counts[order_], at) if len(at) else counts]
+
+    def count_grams(batches):
+        """Payloads by route: of trigrams (route, v, u, w, whether v has several shares, count), of pairs (route, v, w, count)."""
+        parts, n = [], 0
+
+        def give(merged_):
+            _, route, *rest = merged_
+            rest = [x.astype(kind_of_number) if i < order else x for i, x in enumerate(rest)]
+            by = np.lexsort((*reversed(rest[:order]), route))
+            return blobs(shards, route[by], *(x[by] for x in rest))
+
+        for _, data, off in sliced(batches, text_column, known.slice_bytes):
+            codes, number, count, first, start = numbered(data, off)
+            place = before(codes, first, start)
+            w, v = number[codes], number[place]
+            if order == 2:
+                key = two(v, w)
+                part = [key, spread(key), v, w, np.ones(len(w), np.uint32)]
+            else:
+                u, shares = number[before(place, first, start)], (1 + count // share)[place]
+                part = [three(u, v, w), middle(u, v, w, shares), v, u, w, (shares > 1).astype(np.uint8), np.ones(len(w), np.uint32)]
+            parts.append(merged([part]))
+            n += len(parts[-1][0])
+            if n > FLUSH:
+                parts = [merged(parts)]
+                n = len(parts[0][0])
+                if n > HELD:
+                    yield from give(parts[0])
+                    parts, n = [], 0
+        if parts:
+            yield from give(merged(parts))
+
+    def fold_trigrams(shard, parts):
+        _, v, u, w, several, counts = joined(parts)
+        _, v, u, w, several, counts = merged([[three(u, v, w), v, u, w, several, counts]])
+        counts, several = counts.astype(np.int64), several.astype(bool)
+        trigrams.write(shard, three(u, v, w), counts)
+        keys = two(u, v)
+        own = of_contexts(keys[~several], counts[~several])
+        contexts.write(shard, *own)
+        yield _row(shard, COUNTS, len(counts), [*frequencies(counts), len(own[0])])
+        some = of_contexts(keys[several], counts[several])
+        route = spread(some[0])
+        by = np.argsort(route)
+        yield from _wide(_payloads(CONTEXT, blobs(shards, route[by], *(x[by] for x in some))))
+        key, v, w, n = merged([[two(v, w), v, w, np.ones(len(v), np.uint32)]])
+        route = spread(key)
+        by = np.argsort(route)
+        yield from _wide(_payloads(PAIR, blobs(shards, route[by], v[by], w[by], n[by])))
+
+    def fold_second(shard, parts, kind):
+        if kind == CONTEXT:
+            _, keys, *stats = joined(parts)
+            keys, *stats = summed(keys, *(s.astype(np.uint64) for s in stats))
+            hot.write(shard, keys, *stats)
+            yield _row(shard, CONTEXT, len(keys), [])
+            return
+        _, v, w, counts = joined(parts)
+        keys, v, w, counts = merged([[two(v, w), v, w, counts]])
         counts = counts.astype(np.int64)
-        pairs.write(shard, keys, counts.astype(np.min_scalar_type(int(counts.max()))))
-        plain = unmixed(keys)
-        left, right = (plain >> np.uint64(32)).astype(np.uint32), (plain & np.uint64(0xFFFFFFFF)).astype(np.uint32) + np.uint32(1)
-        one = np.ones(len(keys), np.uint32)
-        out = [(s, 0, p) for s, p in ranges(*summed(left, counts.astype(np.uint64), *((counts == i).astype(np.uint32) for i in (1, 2)), (counts > 2).astype(np.uint32)))]
-        out += [(s, 1, p) for s, p in ranges(*summed(right, one))]
-        out.append((-1, 2, packed(np.array([np.count_nonzero(counts == i) for i in (1, 2, 3, 4)] + [len(keys)], np.int64), ordered=False)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "kind", "payload"])
-
-    def fold_words_of_pairs(key, table):
-        shard = key[0].as_py()
-        parts = [(k, unpacked(p.as_py())) for k, p in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True)]
-        if shard < 0:
-            total = sum(x[0] for _, x in parts)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "sums": [total.tolist()]})
-        arrays = {x: np.zeros(width, np.int64) for x in ("total", "f1", "f2", "f3", "before")}
-        for kind, values in parts:
-            at = values[0].astype(np.int64) - shard * width
-            for name, v in zip(("total", "f1", "f2", "f3") if kind == 0 else ("before",), values[1:], strict=True):
-                arrays[name][at] += v.astype(np.int64)  # numbers are distinct within a payload
-        for name, a in arrays.items():
-            save(f"{folder}/{shard:06d}.{name}.npy", a.astype(np.min_scalar_type(int(a.max()))))
-        b = arrays["before"]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "sums": [[int(np.count_nonzero(b == i)) for i in (1, 2, 3, 4)] + [int(np.count_nonzero(b > 2))]]})
-
-    second = reduced(docs.mapInArrow(count_pairs, BLOBS), fold_pairs, "shard int, kind int, payload binary")
-    rows = second.groupBy("shard").applyInArrow(fold_words_of_pairs, "shard int, sums array<long>").collect()
-    of_pairs = next((np.array(r["sums"]) for r in rows if r["shard"] < 0), np.zeros(5, np.int64))
-    of_words = sum((np.array(r["sums"]) for r in rows if r["shard"] >= 0), np.zeros(5, np.int64))
-    del second
-    _tidy(spark)
-    before = discounts(of_words[:4])
-    kinds = int(of_pairs[4])
-    rest = float(before[1] * of_words[0] + before[2] * of_words[1] + before[3] * of_words[4]) / kinds if kinds else 1.0
-    return Model(numbered, pairs, folder, offsets, width, n_tokens, distinct, discounts(of_pairs[:4]), before, kinds, rest, {})
-
-
-class _Numbered(Store):
-    """Words by hash, with numbers that run on from shard to shard."""
-
-    def __init__(self, store: Store, offsets: np.ndarray):
-        super().__init__(store.folder, store.shards, store.values)
-        self.offsets = offsets
-
-    def find(self, keys, *defaults):
-        count, number = super().find(keys, np.int64(0), np.int64(-1))
-        shard = ((np.asarray(keys, np.uint64) >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
-        return [count, np.where(number >= 0, number + self.offsets[shard], -1)]
-
-
-def _tidy(spark) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        pairs.write(shard, keys, counts)
+        yield _row(shard, PAIR, len(keys), frequencies(counts))
+        left, right = of_contexts(mixed(v.astype(np.uint64)), counts), counted(mixed(w.astype(np.uint64)))
+        none = np.zeros(0, np.uint32)
+        key = np.concatenate([left[0], right[0]])
+        stats = [np.concatenate([x, np.zeros(len(right[0]), x.dtype)]) for x in left[1:]] + [np.concatenate([np.zeros(len(left[0]), np.uint32), right[1].astype(np.uint32), none])]
+        yield from _wide(_payloads(PAIR, blobs(shards, *summed(key, *stats))))
+
+    grams = docs.mapInArrow(count_grams, BLOBS)
+    highest = np.zeros(4)
+    if order == 3:
+        level = f"{root}/level"
+        reduced(grams, shards, fold_trigrams, LEVEL).write.parquet(level)
+        done = spark.read.parquet(level)
+        for r in done.filter("payload is null").collect():  # one for each shard
+            trigrams.sizes[r["shard"]], contexts.sizes[r["shard"]] = r["n"], r["numbers"][4]
+            highest += r["numbers"][:4]
+        grams = done.filter("payload is not null")
+    else:
+        grams = grams.withColumn("kind", F.lit(PAIR))
+    reduced(grams, shards, fold_second, LEVEL, kinds=True).write.parquet(f"{root}/second")
+    done = spark.read.parquet(f"{root}/second")
+    middle_ = np.zeros(4)
+    for r in done.filter("payload is null").collect():  # two for each shard at most
+        (hot if r["kind"] == CONTEXT else pairs).sizes[r["shard"]] = r["n"]
+        if r["kind"] == PAIR:
+            middle_ += r["numbers"]
+
+    by_word = Store(f"{root}/by-word", shards, ("total", "f1", "f2", "f3", "before"))
+
+    def fold_by_word(shard, parts):
+        keys, *stats = summed(*joined(parts))
+        by_word.write(shard, keys, *(s.astype(np.min_scalar_type(int(s.max()))) for s in stats))
+        n = stats[4]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([[*frequencies(n), int(np.count_nonzero(n > 2))]], pa.list_(pa.int64()))], ["shard", "n", "numbers"])
+
+    of_words = sum((np.array(r["numbers"]) for r in by_word.fill(done.filter("payload is not null"), fold_by_word, ", numbers array<long>")), np.zeros(5))
+    lowest, kinds = discounts(of_words[:4]), int(pairs.sizes.sum())
+    rest = float(lowest[1] * of_words[0] + lowest[2] * of_words[1] + lowest[3] * of_words[4]) / kinds if kinds else 1.0
+    some = (contexts, hot, trigrams) if order == 3 else (None, None, None)
+    return Model(order, share, known, by_word, pairs, *some, n_tokens, distinct, discounts(highest), discounts(middle_), lowest, kinds, rest)
 
 
 def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every whole text: tokens with the end, tokens that training had, and
-    log10 probabilities by smoothed word counts and by the model. A row for each row; null text: as empty, which has an end.
+    log10 probabilities by smoothed word counts and by the model. A row for each row, of an empty table none; null text: as
+    empty, which has an end. Other columns aren't looked at.
     """
     n, v = model.tokens, model.distinct
     floor = n + 0.1 * (v + 1)
 
     def run(batches):
-        for rows, data, off in sliced(batches, text_column):
+        for rows, data, off in sliced(batches, text_column, model.words.slice_bytes):
             hashes, first = tokens(data, off)
             counts, p = model.score(hashes, first)
             base = np.log10((counts + 0.1) / floor)

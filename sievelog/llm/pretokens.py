@@ -7,46 +7,37 @@ character changes, one earlier after a space, and the last character of a run of
 
 from __future__ import annotations
 
-import unicodedata
 from functools import cache
 
 import numpy as np
 
-LETTER, NUMBER, OTHER, BLANK, UNSURE = range(5)
-#: Code points that the pattern's \s takes (fixed values: the property White_Space).
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-TABLE = 0x3000
-
-
-def _kind(category: str) -> int:
-    return {"L": LETTER, "N": NUMBER, "C": OTHER if category != "Cn" else UNSURE}.get(category[0], OTHER)
+LETTER, NUMBER, OTHER, BLANK = range(4)
 
 
 @cache
 def kinds() -> np.ndarray:
-    """The kind of each code point below TABLE. UNSURE: what Unicode versions differ on, for the library itself to decide."""
-    out = np.empty(TABLE, np.uint8)
-    for c in range(TABLE):
-        now, then = _kind(unicodedata.category(chr(c))), _kind(unicodedata.ucd_3_2_0.category(chr(c)))
-        out[c] = now if now == then else UNSURE
-    out[[c for c in WHITE if c < TABLE]] = BLANK
+    """The kind of every code point, as the rank library itself has it: its regular expressions pick the letters, numbers and
+    white space out of a text of all code points. So no document is left to the library for a character's sake."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        picks = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out[np.frombuffer(bytes(picks.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
-def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the pre-tokens, the first one of each document (one more entry at the end), and whether a
-    document must be left to the library because it has characters that these tables don't decide."""
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the pre-tokens, and the first one of each document (one more entry at the end)."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64), np.zeros(len(off) - 1, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     lead = (data & 0xC0) != 0x80
     byte_at = np.flatnonzero(lead)  # of each code point
     char_off = np.searchsorted(byte_at, off)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(points)
-    kind = np.where(points < TABLE, kinds()[np.minimum(points, TABLE - 1)], UNSURE).astype(np.uint8)
-    unsure = np.flatnonzero(kind == UNSURE)
-    left = np.zeros(len(off) - 1, bool)
-    left[np.searchsorted(char_off, unsure, "right") - 1] = True
+    kind = kinds()[points]
     first = np.zeros(n + 1, bool)  # of a document
     first[char_off] = True
     change = first[:n].copy()
@@ -73,4 +64,4 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = np.flatnonzero(begin)
     starts = byte_at[at]
     ends = np.append(starts[1:], len(data))
-    return starts, ends, np.searchsorted(starts, off), left
+    return starts, ends, np.searchsorted(starts, off)

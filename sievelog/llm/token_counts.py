@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import positions, sliced, span_hashes
-from .bpe import Merges, merges
-from .pretokens import pieces
-from .shared import BLOBS, Store, blobs, shard_of, shared_folder, shards_for
-
-#: Distinct pre-tokens that a task holds before it passes them on.
-HELD = 400_000
-
-
-def _slice_of(table: Merges, data: np.ndarray, off: np.ndarray):
-    """Pre-tokens as numbers of distinct hashes; for documents left to the library, the count it gives."""
-    starts, ends, first, left = pieces(data, off)
-    raw = data.tobytes()
-    for special in table.added:
-        mark, at = special.encode(), -1
-        while (at := raw.find(mark, at + 1)) >= 0:
-            left[np.searchsorted(off, at, "right") - 1] = True
-    if left.any():
-        keep = np.repeat(~left, np.diff(first))
-        starts, ends = starts[keep], ends[keep]
-        first = np.concatenate([[0], np.cumsum(np.where(left, 0, np.diff(first)))])
-    codes, distinct = pd.factorize(span_hashes(data, starts, ends))
-    return starts, ends, first, left, codes, distinct
+from .vocabulary import Vocabulary
 
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -37,71 +13,14 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     First the distinct pre-tokens of all documents are gathered by shards of their hashes, each is encoded once, and its
     number of pieces stored in sorted hash arrays. Then each document's pre-token frequencies are joined to those by
-    look-up, and summed. Pre-tokens that frequent texts share are one entry from each task, so that no key is hot.
-    Null text: as empty, with no tokens. Repeated rows: a row for each. Other columns aren't looked at.
+    look-up, and summed. Pre-tokens that frequent texts share are one entry from each flush of a task, so that no key is hot.
+    Null text: as empty, with no tokens. Repeated rows: a row for each. An empty table gives none. A long text is one row of
+    one task. Other columns aren't looked at.
     """
-    spark = docs.sparkSession
-    docs = docs.select(id_column, text_column)
-    shards = shards_for(docs, 1)
-    store = Store(shared_folder(spark, "token-counts"), shards, ("n",))
-
-    def gather(batches):
-        table = merges(path)
-        seen = np.zeros(0, np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def give():
-            hashes, lens = (np.concatenate([h[i] for h in held]) for i in (0, 2))
-            flat = np.concatenate([h[1] for h in held])
-            order = np.argsort(hashes)
-            begin = (np.cumsum(lens) - lens)[order]
-            hashes, lens = hashes[order], lens[order]
-            index, _, _ = positions(begin, lens)
-            raw, at = flat[index].tobytes(), np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
-            at = np.concatenate([[0], np.cumsum(lens)])[at]
-            for batch in blobs(shards, hashes, lens.astype(np.uint32)):
-                yield batch.append_column("words", pa.array([raw[at[s] : at[s + 1]] for s in batch.column("shard").to_pylist()], pa.binary()))
-
-        for _, data, off in sliced(batches, text_column):
-            starts, ends, _, _, codes, distinct = _slice_of(table, data, off)
-            here = np.empty(len(distinct), np.int64)
-            here[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            new = ~np.isin(distinct, seen)
-            lens = (ends - starts)[here[new]]
-            index, _, _ = positions(starts[here[new]], lens)
-            held.append((distinct[new], data[index], lens))
-            seen = np.concatenate([seen, distinct[new]])
-            if len(seen) > HELD:
-                yield from give()
-                held, seen = [], np.zeros(0, np.uint64)
-        if len(seen):
-            yield from give()
-
-    def encode(key, table):
-        from .arrays import unpacked
-
-        parts = [(*unpacked(p.as_py()), np.frombuffer(w.as_py(), np.uint8)) for p, w in zip(table.column("payload"), table.column("words"), strict=True)]
-        hashes, lens = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
-        lens, flat = lens.astype(np.int64), np.concatenate([x[2] for x in parts])
-        hashes, at = np.unique(hashes, return_index=True)
-        begin = np.cumsum(lens) - lens
-        index, _, _ = positions(begin[at], lens[at])
-        _, counts = merges(path).encoded(flat[index], lens[at])
-        store.write(key[0].as_py(), hashes, counts.astype(np.uint32))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "distinct": pa.array([len(hashes)], pa.int64())})
-
-    gathered = docs.mapInArrow(gather, BLOBS + ", words binary")
-    gathered.groupBy("shard").applyInArrow(encode, "shard int, distinct long").agg({"distinct": "sum"}).collect()
+    known = Vocabulary(docs, path, text_column, keep_ids=False)
 
     def count(batches):
-        table = merges(path)
-        for rows, data, off in sliced(batches, text_column):
-            _, _, first, left, codes, distinct = _slice_of(table, data, off)
-            (n,) = store.find(distinct, np.uint32(0))
-            total = np.concatenate([[0], np.cumsum(n[codes], dtype=np.int64)])
-            tokens = np.diff(total[first])
-            for d in np.flatnonzero(left).tolist():
-                tokens[d] = len(table.library(data[off[d] : off[d + 1]].tobytes().decode()))
-            yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(np.diff(off), pa.int64()), pa.array(tokens, pa.int64())], [id_column, "n_bytes", "n_tokens"])
+        for rows, tokens, size in known.counts_of(batches, text_column):
+            yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
-    return docs.mapInArrow(count, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return docs.select(id_column, text_column).mapInArrow(count, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -31,6 +31,17 @@ def corpus() -> list[tuple[int | None, str | None]]:
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
+def lose(name: str, array: str) -> None:
+    """Deletes one file of the latest store of that name."""
+    import glob
+    import os
+
+    from sievelog.llm import shared
+
+    folder = next(shared._files(f)[1] for _, f in reversed(shared._made) if f"/{name}-" in f)
+    os.remove(sorted(glob.glob(f"{folder}/**/*.{array}.npy", recursive=True))[0])
+
+
 @pytest.fixture(scope="session")
 def rows():
     return corpus()

@@ -8,6 +8,8 @@ import pytest
 from sievelog.llm import chunk_dedup, jaccard_join, order_minhash
 from sievelog.llm.components import components
 
+from .conftest import lose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -16,7 +18,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def groups(rows):
+def groups(rows, percent=75):
     sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def find(x):
@@ -28,15 +30,15 @@ def groups(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def check_links(frame, rows):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(frame).collect()}
-    want = groups(rows)
+def check_links(frame, rows, percent=75):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(frame, percent).collect()}
+    want = groups(rows, percent)
     assert got == want
     return want
 
@@ -66,6 +68,75 @@ def test_links_by_every_kind_of_key(spark, monkeypatch, rare, light, small):
     check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize("percent", [20, 30, 50, 66, 75, 90, 100])
+def test_links_of_any_likeness(spark, monkeypatch, percent):
+    """Also of small sets, where a single shingle is enough, and with nearly every token a frequent one."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "RARE", 2)
+    monkeypatch.setattr(jaccard_join, "LIGHT", 6)
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    monkeypatch.setattr(jaccard_join, "OPENED", 3)
+    rnd, rows = random.Random(percent), []
+    for size in (6, 6, 9, 30, 60, 120):
+        base = [f"w{rnd.randrange(400)}" for _ in range(size)]
+        for _ in range(22):
+            own = list(base)
+            for _ in range(rnd.randint(0, max(2, size // 8))):
+                k = rnd.randrange(len(own))
+                own[k : k + 1] = rnd.choice([[], [f"v{rnd.randrange(3)}"], [own[k], f"v{rnd.randrange(3)}"]]) if len(own) > 3 else [own[k], "v"]
+            a = rnd.randrange(0, max(1, size // 6))
+            rows.append((len(rows), " ".join(own[a:] or ["x"])))
+    want = check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows, percent)
+    assert len({c for _, c in want.values()}) > 3
+
+
+def test_links_of_structured_words(spark):
+    """Two words that a polynomial modulo 2^64 can't tell apart."""
+    own = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(1, f"w x y z {own}"), (2, f"w x y z {own.translate(str.maketrans('ab', 'ba'))}")]
+    assert {c for _, c in check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows).values()} == {1, 2}
+
+
+def test_a_lost_shard_is_an_error(spark, docs):
+    kept = jaccard_join.keep_first(docs)
+    lose("gone", "keys")
+    with pytest.raises(Exception, match="is lost"):
+        kept.collect()
+    cut = chunk_dedup.dedup_substrings(docs)
+    lose("chunks", "place")
+    with pytest.raises(Exception, match="is lost"):
+        cut.collect()
+
+
+def test_no_shared_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sievelog.llm import shared
+
+    none = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: none, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    real, shared.ship = shared.ship, lambda s: s
+    try:
+        with pytest.raises(shared.StoreError, match="spark.checkpoint.dir"):
+            shared.shared_folder(SimpleNamespace(sparkContext=context, conf=none), "x")
+    finally:
+        shared.ship = real
+
+
+def test_exchange_of_two_levels(spark, docs, rows, monkeypatch):
+    """More shards than a task makes payloads: the same results, and rows that follow the tasks, not their square."""
+    from sievelog.llm import shared
+
+    monkeypatch.setattr(shared, "FAN", 8)
+    monkeypatch.setattr(shared, "LEAST", 64)
+    check_links(docs, rows)
+    cut = {r["doc_id"]: r["n_cut"] for r in chunk_dedup.dedup_substrings(docs).collect()}
+    monkeypatch.undo()
+    assert cut == {r["doc_id"]: r["n_cut"] for r in chunk_dedup.dedup_substrings(docs).collect()}
+
+
 def test_links_of_odd_rows(spark, none):
     assert jaccard_join.link_documents(none).collect() == []
     odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "u v w x y z"), (9, "u v w x y z")], "doc_id long, text string")
@@ -156,7 +227,7 @@ def test_chunks_of_several_documents_side_by_side_are_no_passage(spark):
         if own[at : at + 4] == picked[1:] and sum(map(len, picked[1:])) >= 100:
             made = text
     rows = [*enumerate(others), (10, made), (11, fresh(40) + " " + b"".join(picked).decode() + fresh(40))]
-    got = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), least=100).collect()}
     assert got[10]["text"] == made and all(got[i]["text"] == t for i, t in enumerate(others))
     whole = b"".join(picked[1:]).decode()  # which the last document does share with the one before
     assert whole in rows[-1][1] and whole not in got[11]["text"]
@@ -173,7 +244,7 @@ def test_text_without_spaces(spark, letters):
     assert all(p.decode() for p in a) and b"".join(a).decode() == text and len(set(a) & set(b)) > 0.95 * len(a)
     passage = fresh(150)
     rows = [(i, fresh(90 + 7 * i) + passage + fresh(80)) for i in range(3)]
-    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), least=100).collect()}
     assert got[0] == rows[0][1] and all(passage[60:-60] not in got[i] and got[i][:50] == rows[i][1][:50] for i in (1, 2))
 
 

@@ -8,6 +8,8 @@ import pytest
 
 from sievelog.llm import kneser_ney, quality_trees, repetition
 
+from .conftest import lose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,39 +81,44 @@ def test_rules_without_rows(none):
     assert repetition.judge_documents(none).collect() == [] and repetition.keep_good(none).collect() == []
 
 
-def brute_kneser_ney(texts, train):
-    tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in texts}
-    counts, pairs = Counter(w for i in train for w in tokens[i]), Counter()
-    for i in train:
-        for a, b in zip(["<start>", *tokens[i][:-1]], tokens[i], strict=True):
-            pairs[("s",) if a == "<start>" else (a, "w"), b] += 1
-    before = Counter(b for _, b in pairs)
-    d2, d1 = (kneser_ney.discounts(np.array([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])) for c in (pairs, before))
-    rest = sum(d1[min(v, 3)] for v in before.values()) / len(pairs)
+def brute_kneser_ney(texts, train, order):
+    """Plain counts of every order: raw ones of the highest, different words before an n-gram of the others."""
+    tokens = {i: [*WORD.findall(lower(t or "")), ""] for i, t in texts}
+    padded = {i: [None] * (order - 1) + w for i, w in tokens.items()}
+    grams = {order: Counter(tuple(padded[i][k - order + 1 : k + 1]) for i in train for k in range(order - 1, len(padded[i])))}
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    d = {n: kneser_ney.discounts(np.array([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])) for n, c in grams.items()}
     total, back = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        total[a] += n
-        back[a] += d2[min(n, 3)]
+    for n, c in grams.items():
+        for g, k in c.items():
+            total[g[:-1]] += k
+            back[g[:-1]] += d[n][min(k, 3)]
+    counts = Counter(w for i in train for w in tokens[i])
     size, all_ = len(counts), sum(counts.values())
     out = {}
-    for i, words in tokens.items():
+    for i, words in padded.items():
         score = base = 0.0
-        a = ("s",)
-        for b in words:
-            n = before.get(b, 0)
-            p = max(n - d1[min(n, 3)], 0) / len(pairs) + rest / (size + 1)
-            if total.get(a):
-                m = pairs.get((a, b), 0)
-                p = max(m - d2[min(m, 3)], 0) / total[a] + back[a] / total[a] * p
-            score, base, a = score + math.log10(p), base + math.log10((counts[b] + 0.1) / (all_ + 0.1 * (size + 1))), (b, "w")
-        out[i] = (len(words), sum(counts[w] > 0 for w in words), all_, base, score)
+        for k in range(order - 1, len(words)):
+            p = 1 / (size + 1)
+            for n in range(1, order + 1):
+                g = tuple(words[k - n + 1 : k + 1])
+                if total.get(g[:-1]):
+                    c = grams[n].get(g, 0)
+                    p = max(c - d[n][min(c, 3)], 0) / total[g[:-1]] + back[g[:-1]] / total[g[:-1]] * p
+            score, base = score + math.log10(p), base + math.log10((counts[words[k]] + 0.1) / (all_ + 0.1 * (size + 1)))
+        out[i] = (len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), all_, base, score)
     return out
 
 
-def test_language_model_against_plain_counts(docs, rows):
+@pytest.mark.parametrize(("order", "hot"), [(2, 1_000_000), (3, 1_000_000), (3, 40)])
+def test_language_model_against_plain_counts(docs, rows, monkeypatch, order, hot):
+    """With a low ``share`` the trigrams of most frequent words are spread over several shards."""
+    monkeypatch.setattr(kneser_ney, "FLUSH", 5000)
+    monkeypatch.setattr(kneser_ney, "HELD", 3000)
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
-    model = kneser_ney.train(docs.filter(~kneser_ney.held_out("doc_id", 10)))
-    want = brute_kneser_ney(rows, train)
+    model = kneser_ney.train(docs.filter(~kneser_ney.held_out("doc_id", 10)), order=order, share=hot)
+    want = brute_kneser_ney(rows, train, order)
     got = {r["doc_id"]: r for r in kneser_ney.score_documents(docs, model).collect()}
     for i, (n, known, all_, base, score) in want.items():
         r = got[i]
@@ -119,15 +126,34 @@ def test_language_model_against_plain_counts(docs, rows):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
-def test_language_model_without_texts(none, docs):
-    model = kneser_ney.train(none)
-    assert model.tokens == 0 and all(math.isfinite(r["score"]) for r in kneser_ney.score_documents(docs, model).collect())
-    assert kneser_ney.score_documents(none, model).collect() == []
+def test_language_model_with_a_lost_shard(docs):
+    model = kneser_ney.train(docs)
+    lose("kneser-ney", "rest")
+    with pytest.raises(Exception, match="is lost"):
+        kneser_ney.score_documents(docs, model).collect()
+
 
+def test_compact_arrays(tmp_path):
+    from sievelog.llm.shared import Compact, shard_of
 
-def test_unmixed():
-    x = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
-    assert (kneser_ney.unmixed(kneser_ney.mixed(x)) == x).all()
+    rnd = np.random.default_rng(4)
+    keys = np.unique(rnd.integers(0, 2**64, 50_000, dtype=np.uint64))
+    a, b = rnd.integers(1, 4, len(keys)), rnd.geometric(0.01, len(keys))
+    store, shard = Compact(str(tmp_path), 8, 2), shard_of(kneser_ney.spread(keys), 8)
+    for s in range(7):  # the last has none
+        store.write(s, keys[shard == s], a[shard == s], b[shard == s])
+        store.sizes[s] = (shard == s).sum()
+    asked = np.concatenate([keys, rnd.integers(0, 2**64, 50_000, dtype=np.uint64)])
+    got = store.find(kneser_ney.spread(asked), asked)
+    there = np.concatenate([shard < 7, np.zeros(50_000, bool)])
+    assert (got[0] == np.where(there, np.concatenate([a, a[:1].repeat(50_000)]), 0)).all() and (got[1][there] == b[shard < 7]).all()
+
+
+def test_language_model_without_texts(none, docs):
+    for order in (2, 3):
+        model = kneser_ney.train(none, order=order)
+        assert model.tokens == 0 and all(math.isfinite(r["score"]) for r in kneser_ney.score_documents(docs, model).collect())
+        assert kneser_ney.score_documents(none, model).collect() == []
 
 
 def test_trees_learn_and_flat_traversal_is_that_of_the_nodes():

@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 from sievelog.llm import bpe, packing, token_counts
 
+from .conftest import lose
+
 JSON, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
 
 
@@ -115,3 +117,86 @@ def test_plan_of_random_lengths():
             assert at <= capacity and sum(3 * s > capacity for _, s in b) <= 2 or 3 * max(s for _, s in b) > capacity
         least = max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
         assert len(bins) <= 1.25 * least + 2
+
+
+def thue_morse(n):
+    """Words that a polynomial modulo 2^64 can't tell from their complements."""
+    own = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return own, own.translate(str.maketrans("ab", "ba"))
+
+
+def mixed_script():
+    rnd = random.Random(6)
+    kinds = ["abcdefgh", "你好世界中文漢字", "ひらがなカタカナ", "한국어문장", "😀🎉👍🏽🇩🇪", "𝒜𝒷𐍈𞤀", "١٢٣४५Ⅷ½", "͸Ᲊ\U000e0100Ƛ", " 　 \n\t"]
+    return ["".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randint(1, 80))) for _ in range(400)]
+
+
+def test_every_code_point_has_the_kind_that_both_libraries_give_it(hf, ranked):
+    from sievelog.llm import pretokens
+
+    kinds = pretokens.kinds()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for kind in (pretokens.LETTER, pretokens.NUMBER, pretokens.OTHER):  # a run of one kind is a single pre-token
+        text = "".join(chr(c) for c in points if kinds[c] == kind)
+        assert len(hf.pre_tokenizer.pre_tokenize_str(text)) == 1
+        assert len(text) > 1000
+
+
+def test_texts_of_all_scripts_and_structured_words(spark, hf, ranked):
+    texts = [*mixed_script(), *(w for n in (1024, 2048, 4096) for w in thue_morse(n)), "hello 😀 world", "你好 hello"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bpe._library.cache_clear()
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(frame, JSON).collect()}
+    lists = {r["doc_id"]: (r["token_ids"], bytes(r["decoded"])) for r in bpe.encode_documents(frame, RANKS).collect()}
+    for i, t in enumerate(texts):
+        assert counts[i] == len(hf.encode(t, add_special_tokens=False).ids)
+        assert lists[i] == (ranked.encode_ordinary(t), t.encode())
+
+
+def test_no_document_is_left_to_the_library_but_those_with_special_texts():
+    import pyarrow as pa
+
+    from sievelog.llm.arrays import utf8
+    from sievelog.llm.vocabulary import special_documents
+
+    data, off = utf8(pa.array([*mixed_script(), "x<|endoftext|>y", None, "z"]))
+    assert special_documents(bpe.merges(JSON).added, data, off).tolist() == [400]
+
+
+def test_words_with_equal_hashes(monkeypatch, ranked):
+    """With hashes of a few bits nearly all words clash; the other 64 bits tell, and the library steps in."""
+    import pyarrow as pa
+
+    from sievelog.llm import arrays
+
+    whole = arrays.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, a, b, seed=0: whole(data, a, b, seed) if seed else whole(data, a, b) & np.uint64(0xFF))
+    bpe.merges.cache_clear()
+    texts = mixed_script()[:80] + ["plain words of a text", "another text of plain words"]
+    try:
+        for block in bpe.blocks(iter([pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts})]), JSON, ["i"]):
+            for rows, ids, begin, _ in block.ids():
+                for d, i in enumerate(rows.column("i").to_pylist()):
+                    assert ids[begin[d] : begin[d + 1]].tolist() == bpe.merges(JSON).library(texts[i])
+    finally:
+        bpe.merges.cache_clear()
+
+
+def test_a_lost_shard_is_an_error(spark, docs):
+    counts = token_counts.count_tokens(docs, JSON)
+    assert counts.agg({"n_tokens": "sum"}).first()[0] > 0
+    lose("vocabulary", "n")
+    with pytest.raises(Exception, match="is lost"):
+        counts.agg({"n_tokens": "sum"}).first()
+
+
+def test_long_text_over_slices(spark, hf, ranked):
+    """A text of several slices and one longer than a slice in one table."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (500_000, 10, 300_000, 0)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in bpe.encode_digests(frame, RANKS).collect()}
+    for i, t in enumerate(texts):
+        ids = ranked.encode_ordinary(t)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())

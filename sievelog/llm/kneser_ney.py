@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, mapped into memory to score.
 
-The first round counts words and so numbers them: a word's number is its place among the sorted hashes. The second counts
+The first round counts words and numbers them, frequent ones first, so that numbers take little room. The second counts
 n-grams of the highest order. A trigram (u, v, w) goes to a shard of its middle word v, so that all of a context (u, v) and
 all that stands before (v, w) meet there: the shard stores counts and contexts, and passes on the pairs (v, w) with the
 number of different words before them. Where v is frequent, its trigrams are spread over several shards by u and w, and
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, mixed, sliced, span_hashes, words
 from .repetition import sums
-from .shared import BLOBS, Compact, Store, Tally, blobs, counted, joined, reduced, shared_folder, shards_for, summed
+from .shared import BLOBS, FAN, Compact, Store, Tally, blobs, counted, joined, reduced, remove, shard_of, shared_folder, shards_for, summed
 
 #: The hash that stands for the end of a text (no word's, but with the chance of any 64-bit collision).
 END = np.uint64(0xE0D0_F7E7_5EED_0001)
@@ -89,7 +89,12 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def of_contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct contexts, the sums of their counts, and how many of those are 1, 2 and more."""
-    return summed(keys, counts.astype(np.uint64), *((counts == i).astype(np.uint32) for i in (1, 2)), (counts > 2).astype(np.uint32))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(at):
+        return keys, *[np.zeros(0, np.uint64)] * 4
+    return keys[at], *(np.add.reduceat(x, at, dtype=np.uint64) for x in (counts, counts == 1, counts == 2, counts > 2))
 
 
 def frequencies(counts: np.ndarray) -> list[int]:
@@ -97,15 +102,13 @@ def frequencies(counts: np.ndarray) -> list[int]:
 
 
 class _Numbered(Store):
-    """Words by hash with count and number; numbers run on from shard to shard."""
-
-    offsets: np.ndarray
+    """Words by hash with count and rank within their shard."""
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, and their numbers from 1 on (-1: not in the training texts; 0 is for the start of a text)."""
-        count, number = self.find(hashes, np.int64(0), np.int64(-1))
-        shard = ((np.asarray(hashes, np.uint64) >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
-        return count, np.where(number >= 0, number + self.offsets[shard] + 1, -1)
+        """Counts of words, and their numbers from 1 on, frequent words first (-1: not in the training texts; 0 is for the start
+        of a text)."""
+        count, rank = self.find(hashes, np.int64(0), np.int64(-1))
+        return count, np.where(rank >= 0, rank * self.shards + shard_of(hashes, self.shards) + 1, -1)
 
 
 @dataclass
@@ -217,19 +220,20 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
     def fold_words(shard, parts):
         keys, counts = summed(*joined(parts))
         counts = counts.astype(np.int64)
-        known.write(shard, keys, counts.astype(np.min_scalar_type(int(counts.max()))), np.arange(len(keys), dtype=np.uint32))
+        rank = np.empty(len(keys), np.uint32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys), dtype=np.uint32)
+        known.write(shard, keys, counts.astype(np.min_scalar_type(int(counts.max()))), rank)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
     rows = known.fill(docs.mapInArrow(count_words, BLOBS), fold_words, ", total long")
-    known.offsets = np.cumsum(known.sizes) - known.sizes
     n_tokens, distinct = sum(r["total"] for r in rows), int(known.sizes.sum())
-    kind_of_number = np.min_scalar_type(distinct + 1)
+    kind_of_number = np.min_scalar_type((int(known.sizes.max()) + 1) * shards)
 
     def numbered(data, off):
         hashes, first = tokens(data, off)
         codes, some = pd.factorize(hashes)
         count, number = known.numbers(some)
-        return codes, np.append(number, 0), np.append(count, 0), first, len(some)
+        return codes, np.append(number, 0).astype(kind_of_number), np.append(count, 0), first, len(some)
 
     # the second round: n-grams of the highest order
     pairs = Compact(f"{root}/pairs", shards, 1)
@@ -240,17 +244,19 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
         order_ = np.argsort(key)
         key = key[order_]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return [key[at], *(x[order_[at]] for x in rest), np.add.reduceat(counts[order_], at) if len(at) else counts]
+        if len(at):
+            counts = np.add.reduceat(counts[order_], at, dtype=np.uint64)
+            counts = counts.astype(np.uint32 if int(counts.max()) < 1 << 32 else np.uint64)
+        return [key[at], *(x[order_[at]] for x in rest), counts]
 
     def count_grams(batches):
-        """Payloads by route: of trigrams (route, v, u, w, whether v has several shares, count), of pairs (route, v, w, count)."""
+        """Payloads by route: of trigrams (v, u, w, whether v has several shares, count), of pairs (v, w, count)."""
         parts, n = [], 0
 
         def give(merged_):
             _, route, *rest = merged_
-            rest = [x.astype(kind_of_number) if i < order else x for i, x in enumerate(rest)]
-            by = np.lexsort((*reversed(rest[:order]), route))
-            return blobs(shards, route[by], *(x[by] for x in rest))
+            by = np.lexsort((*reversed(rest[:order]), shard_of(route, min(shards, FAN))))
+            return blobs(shards, route[by], *(x[by] for x in rest), keyless=True)
 
         for _, data, off in sliced(batches, text_column, known.slice_bytes):
             codes, number, count, first, start = numbered(data, off)
@@ -274,10 +280,11 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
             yield from give(merged(parts))
 
     def fold_trigrams(shard, parts):
-        _, v, u, w, several, counts = joined(parts)
-        _, v, u, w, several, counts = merged([[three(u, v, w), v, u, w, several, counts]])
-        counts, several = counts.astype(np.int64), several.astype(bool)
-        trigrams.write(shard, three(u, v, w), counts)
+        v, u, w, several, counts = joined(parts)
+        parts.clear()
+        key, v, u, w, several, counts = merged([[three(u, v, w), v, u, w, several, counts]])
+        several = several.astype(bool)
+        trigrams.write(shard, key, counts)
         keys = two(u, v)
         own = of_contexts(keys[~several], counts[~several])
         contexts.write(shard, *own)
@@ -285,22 +292,21 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
         some = of_contexts(keys[several], counts[several])
         route = spread(some[0])
         by = np.argsort(route)
-        yield from _wide(_payloads(CONTEXT, blobs(shards, route[by], *(x[by] for x in some))))
+        yield from _wide(_payloads(CONTEXT, blobs(shards, route[by], *(x[by] for x in some), keyless=True)))
         key, v, w, n = merged([[two(v, w), v, w, np.ones(len(v), np.uint32)]])
         route = spread(key)
-        by = np.argsort(route)
-        yield from _wide(_payloads(PAIR, blobs(shards, route[by], v[by], w[by], n[by])))
+        by = np.lexsort((w, v, shard_of(route, min(shards, FAN))))
+        yield from _wide(_payloads(PAIR, blobs(shards, route[by], v[by], w[by], n[by], keyless=True)))
 
     def fold_second(shard, parts, kind):
         if kind == CONTEXT:
-            _, keys, *stats = joined(parts)
+            keys, *stats = joined(parts)
             keys, *stats = summed(keys, *(s.astype(np.uint64) for s in stats))
             hot.write(shard, keys, *stats)
             yield _row(shard, CONTEXT, len(keys), [])
             return
-        _, v, w, counts = joined(parts)
+        v, w, counts = joined(parts)
         keys, v, w, counts = merged([[two(v, w), v, w, counts]])
-        counts = counts.astype(np.int64)
         pairs.write(shard, keys, counts)
         yield _row(shard, PAIR, len(keys), frequencies(counts))
         left, right = of_contexts(mixed(v.astype(np.uint64)), counts), counted(mixed(w.astype(np.uint64)))
@@ -313,7 +319,7 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
     highest = np.zeros(4)
     if order == 3:
         level = f"{root}/level"
-        reduced(grams, shards, fold_trigrams, LEVEL).write.parquet(level)
+        reduced(grams, shards, fold_trigrams, LEVEL, keyless=True).write.parquet(level)
         done = spark.read.parquet(level)
         for r in done.filter("payload is null").collect():  # one for each shard
             trigrams.sizes[r["shard"]], contexts.sizes[r["shard"]] = r["n"], r["numbers"][4]
@@ -321,7 +327,8 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
         grams = done.filter("payload is not null")
     else:
         grams = grams.withColumn("kind", F.lit(PAIR))
-    reduced(grams, shards, fold_second, LEVEL, kinds=True).write.parquet(f"{root}/second")
+    reduced(grams, shards, fold_second, LEVEL, keyless=True, kinds=True).write.parquet(f"{root}/second")
+    remove(f"{root}/level")
     done = spark.read.parquet(f"{root}/second")
     middle_ = np.zeros(4)
     for r in done.filter("payload is null").collect():  # two for each shard at most

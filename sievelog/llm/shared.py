@@ -30,7 +30,7 @@ from .arrays import SLICE_BYTES, packed, positions, unpacked
 
 BLOBS = "shard int, payload binary"
 #: Bytes of input for each shard, the least number of shards, and the most payloads that a task makes at once.
-SHARD_BYTES, LEAST, FAN = 32_000_000, 32, 2048
+SHARD_BYTES, LEAST, FAN = 16_000_000, 64, 2048
 #: Arrays that a store keeps mapped in a worker.
 OPEN = 800
 
@@ -130,19 +130,18 @@ def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
 
 
-def blobs(shards: int, keys: np.ndarray, *values: np.ndarray, texts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Sorted keys with their values as one payload for each range of keys that has any, at most FAN. ``texts``: the bytes of
-    all entries, one after the other; then the first of the values are their lengths."""
-    shards = min(shards, FAN)
-    at = shard_bounds(keys, shards)
+def blobs(shards: int, keys: np.ndarray, *values: np.ndarray, texts: np.ndarray | None = None, keyless: bool = False) -> Iterator[pa.RecordBatch]:
+    """Entries with their values, in the order of their keys' shards, as one payload for each range of keys that has any, at
+    most FAN. ``texts``: the bytes of all entries, one after the other; then the first of the values are their lengths.
+    ``keyless``: the keys only say where an entry goes, and the payloads of the last exchange don't have them."""
+    coarse = min(shards, FAN)
+    at = shard_bounds(keys, coarse)
     bytes_at = None if texts is None else np.concatenate([[0], np.cumsum(values[0], dtype=np.int64)])[at]
+    arrays = values if keyless and coarse == shards else (keys, *values)
     some = np.flatnonzero(at[1:] > at[:-1]).tolist()
     for i in range(0, len(some), 64):
         part = some[i : i + 64]
-        made = []
-        for s in part:
-            arrays = [keys[at[s] : at[s + 1]], *(v[at[s] : at[s + 1]] for v in values)]
-            made.append(packed(*arrays, *([] if texts is None else [texts[bytes_at[s] : bytes_at[s + 1]]])))
+        made = [packed(*(a[at[s] : at[s + 1]] for a in arrays), *([] if texts is None else [texts[bytes_at[s] : bytes_at[s + 1]]])) for s in part]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(made, pa.binary())], ["shard", "payload"])
 
 
@@ -193,13 +192,13 @@ def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _split(shards: int, texts: bool, keys: list[str]):
+def _split(shards: int, texts: bool, keyless: bool, keys: list[str]):
     """Payloads of a range of keys, as payloads of its shards."""
 
     def of(key: tuple, table: pa.Table) -> pa.Table:
         arrays = joined([unpacked(x.as_py()) for x in table.column("payload")])
         flat = arrays.pop() if texts else None
-        order = np.argsort(arrays[0], kind="stable")
+        order = np.argsort(shard_of(arrays[0], shards), kind="stable")
         if texts:
             lens = arrays[1].astype(np.int64)
             flat = flat[positions((np.cumsum(lens) - lens)[order], lens[order])[0]]
@@ -207,6 +206,7 @@ def _split(shards: int, texts: bool, keys: list[str]):
         at = shard_bounds(arrays[0], shards)
         bytes_at = np.concatenate([[0], np.cumsum(arrays[1], dtype=np.int64)])[at] if texts else None
         some = np.flatnonzero(at[1:] > at[:-1]).tolist()
+        arrays = arrays[1:] if keyless else arrays
         made = [packed(*(a[at[s] : at[s + 1]] for a in arrays), *([flat[bytes_at[s] : bytes_at[s + 1]]] if texts else [])) for s in some]
         same = {k: table.column(k).slice(0, 1).combine_chunks().take(pa.array([0] * len(some))) for k in keys[1:]}
         return pa.table({"shard": pa.array(some, pa.int32()), **same, "payload": pa.array(made, pa.binary())})
@@ -214,7 +214,7 @@ def _split(shards: int, texts: bool, keys: list[str]):
     return of
 
 
-def reduced(frame: DataFrame, shards: int, fold: Callable, schema: str, texts: bool = False, kinds: bool = False) -> DataFrame:
+def reduced(frame: DataFrame, shards: int, fold: Callable, schema: str, texts: bool = False, keyless: bool = False, kinds: bool = False) -> DataFrame:
     """``fold(shard, payloads)``, which gives record batches, for each shard that the payloads of a frame of ``blobs`` have keys
     of. With ``kinds`` a column ``kind`` keeps several such exchanges apart, and ``fold`` gets it as a third argument. A key
     has one entry from each flush of a task, so a frequent key weighs little more than a rare one."""
@@ -227,7 +227,7 @@ def reduced(frame: DataFrame, shards: int, fold: Callable, schema: str, texts: b
     frame = frame.select(*keys, "payload")
     if shards > FAN:
         spread = frame.withColumn("part", F.pmod(F.xxhash64("payload"), F.lit(shards // FAN)))
-        frame = spread.groupBy(*keys, "part").applyInArrow(_split(shards, texts, keys), "shard int, " + ("kind int, " if kinds else "") + "payload binary")
+        frame = spread.groupBy(*keys, "part").applyInArrow(_split(shards, texts, keyless, keys), "shard int, " + ("kind int, " if kinds else "") + "payload binary")
     return frame.groupBy(*keys).applyInArrow(of, schema)
 
 

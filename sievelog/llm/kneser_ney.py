@@ -309,11 +309,13 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
         keys, v, w, counts = merged([[two(v, w), v, w, counts]])
         pairs.write(shard, keys, counts)
         yield _row(shard, PAIR, len(keys), frequencies(counts))
-        left, right = of_contexts(mixed(v.astype(np.uint64)), counts), counted(mixed(w.astype(np.uint64)))
-        none = np.zeros(0, np.uint32)
-        key = np.concatenate([left[0], right[0]])
-        stats = [np.concatenate([x, np.zeros(len(right[0]), x.dtype)]) for x in left[1:]] + [np.concatenate([np.zeros(len(left[0]), np.uint32), right[1].astype(np.uint32), none])]
-        yield from _wide(_payloads(PAIR, blobs(shards, *summed(key, *stats))))
+        left, right = of_contexts(v, counts), counted(w)
+        number = np.concatenate([left[0], right[0]])
+        stats = [np.concatenate([x, np.zeros(len(right[0]), x.dtype)]) for x in left[1:]] + [np.concatenate([np.zeros(len(left[0]), np.uint32), right[1].astype(np.uint32)])]
+        number, *stats = summed(number, *stats)
+        route = mixed(number.astype(np.uint64))
+        by = np.lexsort((number, shard_of(route, min(shards, FAN))))
+        yield from _wide(_payloads(PAIR, blobs(shards, route[by], number[by], *(x[by].astype(np.min_scalar_type(int(x.max()))) for x in stats), keyless=True)))
 
     grams = docs.mapInArrow(count_grams, BLOBS)
     highest = np.zeros(4)
@@ -339,12 +341,14 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 3, share: int
     by_word = Store(f"{root}/by-word", shards, ("total", "f1", "f2", "f3", "before"))
 
     def fold_by_word(shard, parts):
-        keys, *stats = summed(*joined(parts))
+        number, *stats = joined(parts)
+        keys, *stats = summed(mixed(number.astype(np.uint64)), *(s.astype(np.uint64) for s in stats))
         by_word.write(shard, keys, *(s.astype(np.min_scalar_type(int(s.max()))) for s in stats))
         n = stats[4]
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([[*frequencies(n), int(np.count_nonzero(n > 2))]], pa.list_(pa.int64()))], ["shard", "n", "numbers"])
 
-    of_words = sum((np.array(r["numbers"]) for r in by_word.fill(done.filter("payload is not null"), fold_by_word, ", numbers array<long>")), np.zeros(5))
+    of_words = sum((np.array(r["numbers"]) for r in by_word.fill(done.filter("payload is not null"), fold_by_word, ", numbers array<long>", keyless=True)), np.zeros(5))
+    remove(f"{root}/second")
     lowest, kinds = discounts(of_words[:4]), int(pairs.sizes.sum())
     rest = float(lowest[1] * of_words[0] + lowest[2] * of_words[1] + lowest[3] * of_words[4]) / kinds if kinds else 1.0
     some = (contexts, hot, trigrams) if order == 3 else (None, None, None)
@@ -360,7 +364,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     floor = n + 0.1 * (v + 1)
 
     def run(batches):
-        for rows, data, off in sliced(batches, text_column, model.words.slice_bytes):
+        for rows, data, off in sliced(batches, text_column, 2 * model.words.slice_bytes):
             hashes, first = tokens(data, off)
             counts, p = model.score(hashes, first)
             base = np.log10((counts + 0.1) / floor)

@@ -99,13 +99,13 @@ def mapped(path: str) -> np.ndarray:
     files, at = _files(path)
     try:
         if isinstance(files, fs.LocalFileSystem):
-            return np.load(at, mmap_mode="r")
+            return np.load(at, mmap_mode="r").view(np.ndarray)  # a plain array over the map: slices cost less
         copy = tempfile.NamedTemporaryFile(suffix=".npy", delete=False)
         try:
             with files.open_input_stream(at) as source:
                 shutil.copyfileobj(source, copy)
             copy.close()
-            return np.load(copy.name, mmap_mode="r")
+            return np.load(copy.name, mmap_mode="r").view(np.ndarray)
         finally:
             os.unlink(copy.name)
     except FileNotFoundError as e:
@@ -261,9 +261,9 @@ class Store:
         """Text to look up together: more where there are many shards, each of which is opened at most once for it."""
         return min(max(SLICE_BYTES, 8_000 * self.shards), 64_000_000)
 
-    def fill(self, frame: DataFrame, fold: Callable, extra: str = "", texts: bool = False) -> list:
+    def fill(self, frame: DataFrame, fold: Callable, extra: str = "", texts: bool = False, keyless: bool = False) -> list:
         """Runs ``fold`` for each shard, which writes it and gives its row (shard, n, ``extra``), and keeps the sizes."""
-        rows = reduced(frame, self.shards, fold, "shard int, n long" + extra, texts).collect()
+        rows = reduced(frame, self.shards, fold, "shard int, n long" + extra, texts, keyless).collect()
         sizes = np.zeros(self.shards, np.int64)
         for r in rows:
             sizes[r["shard"]] = r["n"]

@@ -7,8 +7,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Outcomes of an object whose counts are published.
-COMMITTED = ("written", "nothing_kept")
 #: Counters of a run, in the order in which they are published.
 COUNTERS = (
     "records_in", "records_kept", "records_dropped", "parse_errors", "bytes_in", "bytes_out", "objects_processed", "objects_skipped", "objects_failed",
@@ -29,11 +27,6 @@ def rule_drops(decisions: DataFrame, names: list[str], *keys: str) -> DataFrame:
     return decisions.filter("rule_idx is not null").groupBy(*keys, named.alias("rule")).agg(F.count(F.lit(1)).alias("drops"))
 
 
-def committed(tallies: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
-    """Only the tallies of objects whose result was written, or had nothing to write."""
-    return tallies.join(results.filter(F.col("outcome").isin(*COMMITTED)).select(*keys), list(keys), "left_semi")
-
-
 def metric_lines(snapshot: dict, drops: dict[str, int], namespace: str, timestamp_ms: int, cold_start: bool) -> list[str]:
     """Embedded-metric lines: one with all counters, one more for each rule that dropped records, in the order of names."""
 

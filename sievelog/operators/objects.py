@@ -24,12 +24,6 @@ def mode(size: Column, processing: Processing) -> Column:
     return F.when(size > processing.stream_threshold_bytes, "stream").otherwise("buffer")
 
 
-def effective_mode(chosen: Column, decompressed: Column, processing: Processing) -> Column:
-    """The mode after an object turned out too large for a buffer: a stream if the mode was chosen by size, else too_large."""
-    too_large = (chosen == "buffer") & (decompressed > processing.max_object_bytes)
-    return F.when(too_large, F.lit("stream" if processing.mode == "auto" else "too_large")).otherwise(chosen)
-
-
 def triggers_itself(bucket: Column, key: Column, to_bucket: str, prefix: str) -> Column:
     """Whether writing the result would notify about it again."""
     same = destination_key(key, prefix) == key
@@ -44,7 +38,3 @@ def contained(rel: Column) -> Column:
 def joined_key(folder: Column, rel: Column) -> Column:
     trimmed = F.regexp_replace(folder, "/+$", "")
     return F.when(trimmed == "", rel).otherwise(F.concat_ws("/", trimmed, rel))
-
-
-def overwrites(from_bucket: Column, from_key: Column, to_bucket: Column, to_key: Column, dry_run: bool) -> Column:
-    return F.lit(False) if dry_run else (from_bucket == to_bucket) & (from_key == to_key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from .plans.config_store import ConfigStore
 from .plans.rules import ConfigError, RuleSet
 from .plans.settings import Settings
 from .session import ship
-from .sources.envelopes import records_of
+from .sources.envelopes import listed, located, records_of
 from .sources.notifications import DECODERS, exploded
 
 KEYS = ["item", "place", "ack_id", "bucket", "key"]
@@ -87,7 +88,7 @@ class AuditPipeline:
             if first:
                 raise RunError(first[0]["error"])
         # as many as the messages of this run at most
-        out.failed = sorted(r[0] for r in failed.select("ack_id").unionByName(errors.select("ack_id")).filter("ack_id is not null").distinct().collect())
+        out.failed = sorted(r[0] for r in failed_ids(failed, errors).collect())
         items.unpersist()
         return out
 
@@ -112,42 +113,56 @@ class AuditPipeline:
             records = records_of(spread, cap=p.max_object_bytes, retry=p.mode == "auto")
             results = write_objects(decided(records, rules, parse_ok=F.col("parse_ok")), KEYS, "path", "target", p.gzip_level, b.dry_run, b.on_unrecognized_object, b.on_missing_object)
         results = results.persist()  # writing again after a loss gives the same bytes
-        done = results.agg(
-            *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS[:6]),
-            F.count_if(F.col("outcome").isin("written", "nothing_kept", "copied", "skipped_unrecognized")).alias("objects_processed"),
-            F.count_if(F.col("outcome") == "skipped_missing").alias("objects_skipped"),
-            F.count_if(F.col("outcome") == "failed").alias("objects_failed"),
-            F.count_if("unrecognized").alias("unrecognized_objects"),
-        ).first()
-        for c in done.asDict():
-            counts[c] += done[c]
-        if rules is not None:
-            for r in results.select(F.explode("drops").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # one for each rule at most
-                name = rules.rules[r["i"]].name
-                drops[name] = drops.get(name, 0) + r["n"]
+        counted(results, rules, counts, drops)
         wanted.unpersist()
         return Outcome(results, counts, drops, [])
 
 
-def filter_folder(spark: SparkSession, source: str, target: str, rules: RuleSet, settings: Settings) -> Outcome:
-    """Filters all objects below a folder into another; a failing object never stops the others."""
-    from .sources.envelopes import listed
+def failed_ids(failed: DataFrame, errors: DataFrame) -> DataFrame:
+    """Ids of the messages to deliver again: of failed objects, and of bodies that can't be decoded."""
+    return failed.select("ack_id").unionByName(errors.select("ack_id")).filter("ack_id is not null").distinct()
+
+
+def counted(results: DataFrame, rules: RuleSet | None, counts: dict[str, int], drops: dict[str, int]) -> None:
+    """Adds what RESULT rows say to the counters of a run."""
+    done = results.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS[:6]),
+        F.count_if(F.col("outcome").isin("written", "nothing_kept", "copied", "skipped_unrecognized")).alias("objects_processed"),
+        F.count_if(F.col("outcome") == "skipped_missing").alias("objects_skipped"),
+        F.count_if(F.col("outcome") == "failed").alias("objects_failed"),
+        F.count_if("unrecognized").alias("unrecognized_objects"),
+    ).first()
+    for c in done.asDict():
+        counts[c] += done[c]
+    if rules is not None:
+        for r in results.select(F.explode("drops").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # one for each rule at most
+            name = rules.rules[r["i"]].name
+            drops[name] = drops.get(name, 0) + r["n"]
 
+
+def filter_folder(spark: SparkSession, source: str, target: str, rules: RuleSet, settings: Settings) -> Outcome:
+    """Filters all objects below a folder into another, or a single named file into ``target``; for that one the key filter and
+    the prefix don't count. A failing object never stops the others."""
     ship(spark)
-    s, counts = settings, dict.fromkeys(COUNTERS, 0)
-    found = listed(spark, source)
-    accepted = ops.key_accepted(F.col("rel"), s.source)
-    counts["objects_excluded_by_key"] = found.filter(~accepted).count()
-    prefix = s.destination.key_prefix
-    todo = found.filter(accepted).withColumn("target", F.concat(F.lit(target.rstrip("/") + "/"), ops.destination_key(F.col("rel"), prefix))).withColumn("mode", ops.mode(F.col("size"), s.processing))
-    if bad := todo.filter(~ops.contained(ops.destination_key(F.col("rel"), prefix))).head(1):
-        raise RunError(f"{bad[0]['rel']} would be written outside the target")
-    same = F.lit(not s.behavior.dry_run) & (F.regexp_replace("path", "^file:/*", "/") == F.col("target"))
-    records = records_of(todo.filter(~same).repartition(F.col("path")), cap=s.processing.max_object_bytes, retry=s.processing.mode == "auto")
+    s, counts, drops = settings, dict.fromkeys(COUNTERS, 0), {}
+    at, folder = located(spark, source)
+    if folder is None:
+        raise FileNotFoundError(f"{source} does not exist")
+    to = located(spark, target)[0]
+    to = re.sub("^file:/*", "/", to).rstrip("/")
+    if folder:
+        found = listed(spark, source)
+        accepted, key = ops.key_accepted(F.col("rel"), s.source), ops.destination_key(F.col("rel"), s.destination.key_prefix)
+        counts["objects_excluded_by_key"] = found.filter(~accepted).count()
+        todo = found.filter(accepted).withColumn("target", ops.joined_key(F.lit(to), key))
+        if bad := todo.filter(~ops.contained(key)).head(1):
+            raise RunError(f"{bad[0]['rel']} would be written outside the target")
+    else:
+        size = spark.read.format("binaryFile").load(at).select("length").first()[0]
+        todo = spark.createDataFrame([(at, source, size, to)], "path string, rel string, size long, target string")
+    todo = todo.withColumn("mode", ops.mode(F.col("size"), s.processing))
+    records = records_of(todo.repartition(F.col("path")), cap=s.processing.max_object_bytes, retry=s.processing.mode == "auto")
     decisions = decided(records, rules, parse_ok=F.col("parse_ok"))
     results = write_objects(decisions, ["rel"], "path", "target", s.processing.gzip_level, s.behavior.dry_run, s.behavior.on_unrecognized_object).persist()
-    clash = todo.filter(same).select("rel", F.lit("would overwrite its source").alias("error"), F.lit("failed").alias("outcome"))
-    results = results.unionByName(clash, allowMissingColumns=True)
-    drops = {rules.rules[r["i"]].name: r["n"] for r in results.select(F.explode("drops").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    total = results.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS[:6])).first().asDict()
-    return Outcome(results, counts | total, drops, [])
+    counted(results, rules, counts, drops)
+    return Outcome(results, counts, drops, [])

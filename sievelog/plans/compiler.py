@@ -36,11 +36,19 @@ def _test(m: Match, slots: dict[Path, Column], variant: Column) -> Column:
     return ~found if m.negate else found
 
 
+def once(value: Column) -> Column:
+    """The same value, which the optimizer computes where it stands: the only element of an array, by a place that is 0 in every
+    row, but formally random. The value is always evaluated, so what it has in common with others still is computed once."""
+    return F.get(F.array(value), (F.rand(0) * 0).cast("int"))
+
+
 def decided(records: DataFrame, rules: RuleSet, raw: str = "raw", parse_ok: Column | None = None, out: str = "rule_idx") -> DataFrame:
     """``records`` with the number of the first rule that matches, null to keep. A record that doesn't parse is kept.
 
     All key paths are read in one pass over the text, into a struct with just those leaves; paths with subscripts share one
-    variant. Both are columns of a lower projection, so that each is computed once however many rules use it.
+    variant. Both are columns of a lower projection, so that each is computed once however many rules use it. The decision is
+    formally not deterministic, which keeps filters on it from being pushed below that projection with the parse inlined;
+    filters on other columns belong before this.
     """
     for k, v in CONF.items():
         records.sparkSession.conf.set(k, v)
@@ -76,7 +84,7 @@ def decided(records: DataFrame, rules: RuleSet, raw: str = "raw", parse_ok: Colu
         decision = chain.cast("int")
     if parse_ok is not None:
         decision = F.when(parse_ok, decision)
-    return frame.select(*names, decision.alias(out))
+    return frame.select(*names, once(decision).alias(out))
 
 
 @cache

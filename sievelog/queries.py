@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import objects as ops
-from .operators.counting import committed, metric_lines, rule_drops, tally
+from .operators.counting import COUNTERS, metric_lines, rule_drops, tally
 from .operators.reports import record_lines, summary
-from .operators.sink import envelope_text
+from .operators.sink import envelope_text, write_objects
+from .pipeline import counted, failed_ids
 from .plans.compiler import decided
 from .plans.rules import RuleSet, parse_rules
 from .plans.settings import Processing, Source
@@ -159,26 +160,12 @@ def reconciliation(spark, d):
     return tally(x.withColumn("all", F.lit(0)), "all").select("records_in", "records_kept", "records_dropped").crossJoin(rule_drops(x, NAMES).agg(F.sum("drops").alias("sum_rule_drops")))  # a row each
 
 
-@_query("commit_gate", f"select user_id % 16 as object, {TALLY}, cast(0 as bigint) as parse_errors from {DECIDED} where user_id % 16 % 3 <> 0 group by 1")
-def commit_gate(spark, d):
-    x = _decisions(spark, d)
-    outcome = F.when(F.col("object") % 3 == 0, "failed").when(F.col("object") % 3 == 1, "written").otherwise("nothing_kept")
-    return committed(tally(x, "object"), x.select("object").distinct().withColumn("outcome", outcome), "object")
-
-
 @_query("key_filter", "select page_id, regexp_matches(key, '\\.json\\.gz$') and not regexp_matches(key, '(/CloudTrail-Digest/|/CloudTrail-Insight/|/$)') as accepted from (select page_id, url || case page_id % 4 when 0 then '/CloudTrail-Digest/a.json.gz' when 1 then '/a.json.gz' when 2 then '/a.json' else '/' end as key from pages) k")
 def key_filter(spark, d):
     tails = F.element_at(F.array(*map(F.lit, ("/CloudTrail-Digest/a.json.gz", "/a.json.gz", "/a.json", "/"))), (F.col("page_id") % 4 + 1).cast("int"))
     return table(spark, d, "pages").select("page_id", ops.key_accepted(F.concat("url", tails), Source()).alias("accepted"))
 
 
-@_query("mode_select", "select doc_id, case when n_chars > 2000 then 'stream' else 'buffer' end as mode, case when n_chars > 2000 then 'stream' when n_chars * 3 > 4000 then 'stream' else 'buffer' end as effective, case when n_chars * 3 > 4000 then 'too_large' else 'buffer' end as explicit from documents")
-def mode_select(spark, d):
-    auto, fixed = Processing(stream_threshold_bytes=2000, max_object_bytes=4000), Processing(mode="buffer", max_object_bytes=4000)
-    n, chosen = F.col("n_chars"), ops.mode(F.col("n_chars"), auto)
-    return table(spark, d, "documents").select("doc_id", chosen.alias("mode"), ops.effective_mode(chosen, n * 3, auto).alias("effective"), ops.effective_mode(ops.mode(n, fixed), n * 3, fixed).alias("explicit"))
-
-
 @_query("dest_key", "select page_id, 'filtered/' || url as dest, case when page_id % 2 = 0 then 'base/' || url else url end as joined from pages")
 def dest_key(spark, d):
     folder = F.when(F.col("page_id") % 2 == 0, "base/").otherwise("")
@@ -198,26 +185,6 @@ def containment(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", ops.contained(F.concat(head, F.col("s_name"))).alias("contained"))
 
 
-@_query("missing_object", "select o_custkey as ref, count(*) as refs from orders o where not exists (select 1 from customer c where c.c_custkey = o.o_custkey and c.c_custkey % 7 <> 0) group by 1")
-def missing_object(spark, d):
-    refs = table(spark, d, "orders").select(F.col("o_custkey").alias("ref")).groupBy("ref").agg(F.count(F.lit(1)).alias("refs"))
-    there = table(spark, d, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("ref"))
-    return refs.join(there, "ref", "left_anti")
-
-
-@_query("unrecognized_policy", "select policy, case when s % 2 = 0 then 'written' else case policy when 'copy' then 'copied' when 'skip' then 'skipped_unrecognized' else 'failed' end end as outcome, count(*) as n from (select s_suppkey as s from supplier) t, (values ('copy'), ('skip'), ('error')) p(policy) group by 1, 2")
-def unrecognized_policy(spark, d):
-    s = table(spark, d, "supplier").select(F.explode(F.array(*map(F.lit, ("copy", "skip", "error")))).alias("policy"), (F.col("s_suppkey") % 2 == 0).alias("ok"))
-    done = F.when(F.col("policy") == "copy", "copied").when(F.col("policy") == "skip", "skipped_unrecognized").otherwise("failed")
-    return s.groupBy("policy", F.when(F.col("ok"), "written").otherwise(done).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@_query("partial_batch_failures", "select distinct 'msg-' || (o_orderkey % 50) as ack_id from orders where o_orderkey % 50 % 11 = 3 and o_custkey % 4 = 0")
-def partial_batch_failures(spark, d):
-    o = table(spark, d, "orders").select(F.concat(F.lit("msg-"), F.col("o_orderkey") % 50).alias("ack_id"), ((F.col("o_orderkey") % 50 % 11 == 3) & (F.col("o_custkey") % 4 == 0)).alias("failed"))
-    return o.groupBy("ack_id").agg(F.bool_or("failed").alias("failed")).filter("failed").select("ack_id")
-
-
 def _created(e: DataFrame) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("ObjectCreated:Put", "s3:ObjectCreated:Copy", "ObjectRemoved:Delete"))), (F.col("event_id") % 3 + 1).cast("int"))
     key = F.concat(F.lit("a+b%3D"), F.col("event_id").cast("string"), F.lit("%zz.json.gz"))
@@ -285,24 +252,6 @@ INDEX_RULES = (
 )
 
 
-@_query("index_candidates", "select s as source, n as name, unnest(list_filter([0, 1, 2, 3, 4], lambda i: (i <> 0 or (s = 'svc1.example.com' and n in ('click', 'view'))) and (i <> 1 or s in ('svc0.example.com', 'svc1.example.com')) and (i <> 2 or n = 'purchase'))) as rule_idx from (select distinct 'svc' || (user_id % 5) || '.example.com' as s, event_type as n from events) t")
-def index_candidates(spark, d):
-    rules = rules_of(*INDEX_RULES)
-    pairs = table(spark, d, "events").select(F.expr(FIELDS["source"]).alias("source"), F.col("event_type").alias("name")).distinct()
-
-    def fits(column: str, texts: list[str] | None):
-        return F.lit(True) if texts is None else F.col(column).isin(*texts)
-
-    numbers = F.array(*(F.when(fits("source", r.index_literals("eventSource")) & fits("name", r.index_literals("eventName")), F.lit(i)) for i, r in enumerate(rules.rules)))
-    return pairs.select("source", "name", F.explode(F.array_compact(numbers)).alias("rule_idx"))
-
-
-@_query("snapshot", f"select {TALLY}, count(distinct user_id % 16) as objects_processed from {DECIDED}")
-def snapshot(spark, d):
-    t = tally(_decisions(spark, d), "object")
-    return t.agg(*(F.sum(c).alias(c) for c in ("records_in", "records_kept", "records_dropped")), F.count(F.lit(1)).alias("objects_processed"))
-
-
 @_query("report_lines", f"select event_id + 1 as record_no, case when rule_idx is null then 'KEEP' else 'DROP' end as decision, 'r' || rule_idx as rule, case when rule_idx is null then 'KEEP record ' || (event_id + 1) else 'DROP record ' || (event_id + 1) || ' (rule: \"r' || rule_idx || '\")' end as line from {DECIDED}")
 def report_lines(spark, d):
     return record_lines(_decisions(spark, d), NAMES, "event_id")
@@ -321,7 +270,7 @@ def envelope_roundtrip(spark, d):
     return kept.groupBy("object").agg(envelope_text(F.col("event_id"), F.col("raw")).alias("body"))
 
 
-def _bodies(spark, d) -> DataFrame:
+def _bodies(spark, d, *, keep: str | None = None) -> DataFrame:
     """(object, content): an envelope for each object, whole or damaged in a way that depends on its number."""
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 16).cast("long").alias("object"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("raw"))
     texts = e.groupBy("object").agg(envelope_text(F.col("event_id"), F.col("raw")).alias("body"))
@@ -338,7 +287,7 @@ def _bodies(spark, d) -> DataFrame:
 
         return pd.Series([one(n, t) for n, t in zip(number, body, strict=True)])
 
-    return texts.select("object", content("object", "body").alias("content"), F.lit("buffer").alias("mode"))
+    return texts.select("object", content("object", "body").alias("content"), F.lit("buffer").alias("mode"), *([keep] if keep else []))
 
 
 @_query("envelope_statuses", "select distinct user_id % 16 as object, case user_id % 16 when 2 then 'gzip_error' when 3 then 'json_error' when 4 then 'gzip_error' when 5 then 'unrecognized' when 6 then 'json_error' when 7 then 'unrecognized' else 'ok' end as status from events")
@@ -358,13 +307,117 @@ def envelope_verbatim(spark, d):
     return records_of(_bodies(spark, d), content="content").filter("pos is not null").select("object", F.col("pos").cast("long").alias("pos"), "raw")
 
 
-@_query("emf_lines")
+def _results(spark, d, **behavior) -> DataFrame:
+    """What a run says of the envelopes of ``_bodies``, as a dry run: they are opened, decided and counted by object."""
+    bodies = _bodies(spark, d).withColumn("ack_id", F.concat(F.lit("m"), "object")).withColumn("path", F.lit("/in")).withColumn("target", F.lit("/out"))
+    decisions = decided(records_of(bodies, content="content"), ERRORS, parse_ok=F.col("parse_ok"))
+    return write_objects(decisions, ["object", "ack_id"], "path", "target", dry_run=True, **behavior)
+
+
+ERRORS = rules_of(("r0", "{field: type, equals: error}"))
+#: Of an object whose envelope can be read, and of the others.
+OUTCOME = "case when o in (2, 3, 4, 6) then 'failed' when o in (5, 7) then {} when count(*) filter (event_type <> 'error') > 0 then 'written' else 'nothing_kept' end"
+OBJECTS = "(select user_id % 16 as o, event_type from events) e"
+READ = "o not between 2 and 7"
+
+
+@_query("commit_gate", f"select o as object, {OUTCOME.format(repr('copied'))} as outcome, count(*) filter ({READ}) as records_in, count(*) filter ({READ} and event_type <> 'error') as records_kept, count(*) filter ({READ} and event_type = 'error') as records_dropped, cast(0 as bigint) as parse_errors, o in (5, 7) as unrecognized from {OBJECTS} group by o")
+def commit_gate(spark, d):
+    """Counts by object: those of objects that can't be read stay out."""
+    return _results(spark, d).select("object", "outcome", "records_in", "records_kept", "records_dropped", "parse_errors", "unrecognized")
+
+
+@_query("object_rule_drops", f"select o as object, cast(0 as bigint) as rule, count(*) as drops from {OBJECTS} where {READ} and event_type = 'error' group by o")
+def object_rule_drops(spark, d):
+    return _results(spark, d).select("object", F.explode("drops").alias("rule", "drops")).select("object", F.col("rule").cast("long").alias("rule"), "drops")
+
+
+@_query("unrecognized_policy", f"select policy, o as object, {OUTCOME.format('min(done)')} as outcome from {OBJECTS}, (values ('copy', 'copied'), ('skip', 'skipped_unrecognized'), ('error', 'failed')) p(policy, done) group by policy, o")
+def unrecognized_policy(spark, d):
+    one = [_results(spark, d, on_unrecognized=p).select(F.lit(p).alias("policy"), "object", "outcome") for p in ("copy", "skip", "error")]
+    return one[0].union(one[1]).union(one[2])
+
+
+@_query("missing_object", "select policy, outcome, s_suppkey as object, error from supplier, (values ('skip', 'skipped_missing', ''), ('error', 'failed', 'no such object')) p(policy, outcome, error)")
+def missing_object(spark, d):
+    """Names that lead nowhere, fetched and reported by either policy."""
+    named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("object"), F.concat(F.lit("/no/such/folder/"), F.col("s_name")).alias("path"), F.lit("/out").alias("target"), F.lit("buffer").alias("mode"))
+    decisions = decided(records_of(named), ERRORS, parse_ok=F.col("parse_ok"))
+    one = [write_objects(decisions, ["object"], "path", "target", dry_run=True, on_missing=p).select(F.lit(p).alias("policy"), "outcome", "object", F.coalesce("error", F.lit("")).alias("error")) for p in ("skip", "error")]
+    return one[0].union(one[1])
+
+
+@_query("oversize_retry", f"select o as object, case when size > 2000 and o % 2 = 0 then 'stream' else 'buffer' end as mode, 'ok' as retried, case when size > 2000 and o % 2 = 1 then 'too_large' else 'ok' end as refused from (select o, sum(length(r) + 1) + 13 as size from (select user_id % 16 as o, '{{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}}' as r from events) e where {READ} group by o) s")
+def oversize_retry(spark, d):
+    """Buffered objects over the cap: read as a stream, or refused. Even ones are known to be large before."""
+    p = Processing(stream_threshold_bytes=2000, max_object_bytes=2000)
+    size = F.length(F.col("body"))
+    bodies = _bodies(spark, d, keep="body").filter("object not between 2 and 7").withColumn("mode", ops.mode(F.when(F.col("object") % 2 == 0, size), p)).drop("body").persist()
+    retried, refused = (records_of(bodies, cap=p.max_object_bytes, retry=r, content="content").select("object", "mode", "status").distinct() for r in (True, False))
+    return retried.withColumnRenamed("status", "retried").join(refused.withColumnRenamed("status", "refused"), ["object", "mode"])
+
+
+@_query("mode_select", "select doc_id, case when n_chars > 2000 then 'stream' else 'buffer' end as mode, 'buffer' as explicit from documents")
+def mode_select(spark, d):
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", ops.mode(n, Processing(stream_threshold_bytes=2000)).alias("mode"), ops.mode(n, Processing(mode="buffer")).alias("explicit"))
+
+
+@_query("partial_batch_failures", f"select distinct 'm' || o as ack_id from {OBJECTS} where o in (2, 3, 4, 6) union select 'm' || event_id from events where event_id % 7 = 0")
+def partial_batch_failures(spark, d):
+    """Messages of failed objects, and messages whose body is no notification."""
+    return failed_ids(_results(spark, d).filter("outcome = 'failed'"), _queue(spark, d, "auto").filter("failed"))
+
+
+@_query("snapshot", f"select count(*) filter ({READ}) as records_in, count(*) filter ({READ} and event_type <> 'error') as records_kept, count(*) filter ({READ} and event_type = 'error') as records_dropped, count(distinct o) filter (o not in (2, 3, 4, 6)) as objects_processed, count(distinct o) filter (o in (2, 3, 4, 6)) as objects_failed, count(distinct o) filter (o in (5, 7)) as unrecognized_objects, count(*) filter ({READ} and event_type = 'error') as dropped_by_r0 from {OBJECTS}")
+def snapshot(spark, d):
+    """The counters that a run of the engine publishes."""
+    counts, drops = dict.fromkeys(COUNTERS, 0), {}
+    counted(_results(spark, d), ERRORS, counts, drops)
+    names = ("records_in", "records_kept", "records_dropped", "objects_processed", "objects_failed", "unrecognized_objects")
+    return spark.createDataFrame([(*(counts[n] for n in names), drops.get("r0", 0))], ", ".join(f"{n} long" for n in (*names, "dropped_by_r0")))
+
+
+INDEX_RULES = (
+    ("exact", "{field: eventSource, equals: svc1.example.com}, {field: eventName, any_of: [click, view]}"),
+    ("source", "{field: eventSource, regex: '^svc(0|1)\\.example\\.com$'}"),
+    ("name", "{field: eventName, regex: '^purchase$'}"),
+    ("open", "{field: eventSource, regex: 'svc.*'}"),
+    ("negated", "{field: eventName, equals: click, negate: true}"),
+)
+
+
+@_query("index_candidates", "select s as source, n as name, unnest(list_filter([0, 1, 2, 3, 4], lambda i: (i <> 0 or (s = 'svc1.example.com' and n in ('click', 'view'))) and (i <> 1 or s in ('svc0.example.com', 'svc1.example.com')) and (i <> 2 or n = 'purchase'))) as rule_idx from (select distinct 'svc' || (user_id % 5) || '.example.com' as s, event_type as n from events) t")
+def index_candidates(spark, d):
+    rules = rules_of(*INDEX_RULES)
+    pairs = table(spark, d, "events").select(F.expr(FIELDS["source"]).alias("source"), F.col("event_type").alias("name")).distinct()
+
+    @F.pandas_udf("array<int>")
+    def candidates(source: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([rules.candidates(s, n) for s, n in zip(source, name, strict=True)])
+
+    return pairs.select("source", "name", F.explode(candidates("source", "name")).alias("rule_idx"))
+
+
+EMF = """
+with c as (select count(*) as n, count(*) filter (rule_idx is null) as kept, count(*) filter (rule_idx is not null) as dropped from {0}),
+r as (select 'r' || rule_idx as rule, count(*) as drops from {0} where rule_idx is not null group by 1),
+h as (select '{{"_aws":{{"Timestamp":0,"CloudWatchMetrics":[{{"Namespace":"sievelog","Dimensions":' as head),
+u as (select ['RecordsIn', 'RecordsKept', 'RecordsDropped', 'ParseErrors', 'BytesIn', 'BytesOut', 'ObjectsProcessed', 'ObjectsSkipped', 'ObjectsFailed', 'ObjectsExcludedByKey', 'UnrecognizedObjects', 'DecodeErrors', 'ItemsWithoutObjects', 'ConfigLoadErrors', 'ColdStart'] as names)
+select 0 as no, head || '[[]],"Metrics":[' || array_to_string(list_transform(names, lambda x: '{{"Name":"' || x || '","Unit":"' || case when x like 'Bytes%' then 'Bytes' else 'Count' end || '"}}'), ',') || ']}}]}},'
+    || array_to_string(list_transform(names, lambda x: '"' || x || '":' || case x when 'RecordsIn' then n when 'RecordsKept' then kept when 'RecordsDropped' then dropped when 'ColdStart' then 1 else 0 end), ',') || '}}' as line
+from c, h, u
+union all select row_number() over (order by rule), head || '[["Rule"]],"Metrics":[{{"Name":"RuleDrops","Unit":"Count"}}]}}]}},"Rule":"' || rule || '","RuleDrops":' || drops || '}}' from r, h
+"""
+
+
+@_query("emf_lines", EMF.format(DECIDED))
 def emf_lines(spark, d):
     """The lines that a run publishes: one of all counters, one of each rule."""
     x = _decisions(spark, d)
     counts = tally(x.withColumn("all", F.lit(0)), "all").first().asDict()
     drops = {r["rule"]: r["drops"] for r in rule_drops(x, NAMES).collect()}  # one for each rule at most
-    return spark.createDataFrame(list(enumerate(metric_lines(counts, drops, "sievelog", 0, True))), "no int, line string")
+    return spark.createDataFrame(list(enumerate(metric_lines(counts, drops, "sievelog", 0, True))), "no long, line string")
 
 
 def queries() -> dict[str, Query]:

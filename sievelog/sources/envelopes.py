@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,11 +17,26 @@ BATCH = 2_000
 RECORDS = "status string, error string, bytes_in long, pos int, raw string, parse_ok boolean"
 
 
+def located(spark: SparkSession, path: str) -> tuple[str, bool | None]:
+    """The full name of a file or folder, and whether it is a folder (None: neither is there). Local names are resolved, links
+    and ``..`` included."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() == "file":
+        at = jvm.Path("file:" + os.path.realpath(re.sub("^file:/*", "/", path)))
+    at = files.makeQualified(at)
+    return at.toString(), files.getFileStatus(at).isDirectory() if files.exists(at) else None
+
+
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """(path, rel, size) of all files below a folder; ``rel`` is the path from there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
-    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(?:[a-z0-9]+:)?/*" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in root) + "/", "")
+    root, there = located(spark, folder)
+    if not there:
+        raise FileNotFoundError(f"{folder} is not a folder")
+    root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root)).select("path", F.col("length").alias("size"))
+    rel = F.when(F.col("path").startswith(root + "/"), F.expr(f"substring(path, {len(root) + 2})")).otherwise(F.raise_error(F.concat("path", F.lit(f" is not below {root}"))))
     return files.select("path", rel.alias("rel"), "size")
 
 
@@ -121,7 +137,3 @@ def stream_of(spark: SparkSession, folder: str) -> DataFrame:
     """New files of a folder as a stream of (path, size), without their content."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
-
-
-def rel_key(path: str, root: str) -> str:
-    return os.path.relpath(path, root).replace(os.sep, "/")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.compiler import once
+
 OBJECTS = "array<struct<bucket:string,key:string,size:bigint>>"
 
 
@@ -34,9 +36,8 @@ def _result(error: Column, objects: Column) -> Column:
     return F.struct(F.when(error.isNull(), objects).otherwise(F.array().cast(OBJECTS)).alias("objects"), error.alias("decode_error"))
 
 
-def s3_event(payload: Column) -> Column:
-    """struct<objects, decode_error> of a direct notification: objects that were created; a test event has none."""
-    v = F.try_parse_json(payload)
+def s3_event(v: Column) -> Column:
+    """struct<objects, decode_error> of a direct notification, parsed: objects that were created; a test event has none."""
     test = F.coalesce(_text(v, "$.Event") == "s3:TestEvent", F.lit(False))
     records = F.try_variant_get(v, "$.Records", "array<variant>")
     created = F.filter(records, lambda r: F.coalesce(F.regexp_replace(_text(r, "$.eventName"), "^s3:", "").startswith("ObjectCreated:"), F.lit(True)))
@@ -54,58 +55,64 @@ def s3_event(payload: Column) -> Column:
 
 
 def _items(frame: DataFrame, found: Column, ack: Column) -> DataFrame:
-    return frame.select("*", ack.cast("string").alias("ack_id"), found.alias("__found")).select("*", "__found.objects", "__found.decode_error").drop("__found")
+    return frame.select("*", ack.cast("string").alias("ack_id"), once(found).alias("__found")).select("*", "__found.objects", "__found.decode_error").drop("__found")
 
 
 def decode_s3(payloads: DataFrame) -> DataFrame:
     """One item per payload that has objects or an error."""
-    out = _items(payloads.withColumn("item", F.lit(0)), s3_event(F.col("payload")), F.lit(None))
-    return out.filter("decode_error is not null or size(objects) > 0")
+    parsed = payloads.withColumn("item", F.lit(0)).withColumn("__v", _parsed(F.col("payload")))
+    return _items(parsed, s3_event(F.col("__v")), F.lit(None)).drop("__v").filter("decode_error is not null or size(objects) > 0")
+
+
+def _parsed(text: Column) -> Column:
+    """A parsed text as a column that is computed once, however often it is used above."""
+    return once(F.try_parse_json(text))
 
 
 def _outer(payloads: DataFrame) -> DataFrame:
     """A row for each of the payload's records, none for a payload without."""
-    v = F.try_parse_json("payload")
-    broken = payloads.select("*", F.posexplode(F.when(v.isNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.try_variant_get(v, "$.Records", "array<variant>"))).alias("item", "__record"))
-    return broken
+    v = F.col("__v")
+    parsed = payloads.withColumn("__v", _parsed(F.col("payload")))
+    records = F.when(v.isNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.try_variant_get(v, "$.Records", "array<variant>"))
+    return parsed.select(*payloads.columns, F.posexplode(records).alias("item", "__record"))
 
 
 def decode_sns(payloads: DataFrame) -> DataFrame:
     """One item per record. A bad message fails its whole payload: each of its items has the error then."""
-    rows = _outer(payloads)
-    message = _text(F.col("__record"), "$.Sns.Message")
-    found = F.when(message.isNull(), _result(F.lit("no message"), F.array().cast(OBJECTS))).otherwise(s3_event(message))
-    items = rows.withColumn("__found", found)
-    errors = payloads.select(F.col("payload").alias("__p"), F.aggregate(F.transform(F.try_variant_get(F.try_parse_json("payload"), "$.Records", "array<variant>"), lambda r: F.coalesce(s3_event(_text(r, "$.Sns.Message"))["decode_error"], F.when(_text(r, "$.Sns.Message").isNull(), F.lit("no message")))), F.lit(None).cast("string"), lambda a, x: F.coalesce(a, x)).alias("__error")).distinct()
-    items = items.join(errors, items["payload"].eqNullSafe(errors["__p"]), "left")
-    error = F.coalesce("__error", F.col("__found.decode_error"))
-    out = items.select(*payloads.columns, "item", F.lit(None).cast("string").alias("ack_id"), F.when(error.isNull(), F.col("__found.objects")).otherwise(F.array().cast(OBJECTS)).alias("objects"), error.alias("decode_error"))
-    return out
+    v = F.col("__v")
+    none = F.array(F.lit(None).cast("variant"))
+    # all messages of a payload are decoded in its row, before they become rows of their own, so each sees the others' errors
+    records = F.when(v.isNull(), none).otherwise(F.try_variant_get(v, "$.Records", "array<variant>"))
+    texts = payloads.withColumn("__v", _parsed(F.col("payload"))).withColumn("__records", records)
+    parsed = texts.withColumn("__messages", once(F.transform("__records", lambda r: F.struct(_text(r, "$.Sns.Message").isNull().alias("none"), F.try_parse_json(_text(r, "$.Sns.Message")).alias("v")))))
+    found = parsed.withColumn("__found", once(F.transform("__messages", lambda m: F.when(m["none"], _result(F.lit("no message"), F.array().cast(OBJECTS))).otherwise(s3_event(m["v"])))))
+    error = F.aggregate("__found", F.lit(None).cast("string"), lambda a, x: F.coalesce(a, x["decode_error"]))
+    rows = found.withColumn("__error", error).select(*payloads.columns, "__error", F.posexplode("__found").alias("item", "__one"))
+    return rows.select(*payloads.columns, "item", F.lit(None).cast("string").alias("ack_id"), F.when(F.col("__error").isNull(), F.col("__one.objects")).otherwise(F.array().cast(OBJECTS)).alias("objects"), F.col("__error").alias("decode_error"))
 
 
 def decode_sqs(payloads: DataFrame, body_format: str = "auto") -> DataFrame:
     """One item per message, acknowledged by its messageId; a bad body is its own item's error only."""
-    rows = _outer(payloads)
-    record = F.col("__record")
+    record, v, inner = F.col("__record"), F.col("__body"), F.col("__inner")
     body = _text(record, "$.body")
-    v = F.try_parse_json(body)
+    rows = _outer(payloads).withColumn("__body", _parsed(body))
+    rows = rows.withColumn("__inner", _parsed(_text(v, "$.Message")))
     wrapped = F.coalesce(_text(v, "$.Type") == "Notification", F.lit(False))
-    inner = s3_event(_text(v, "$.Message"))
     missing = _result(F.lit("no message in the notification"), F.array().cast(OBJECTS))
-    unwrapped = F.when(_text(v, "$.Message").isNull(), missing).otherwise(inner)
+    unwrapped = F.when(_text(v, "$.Message").isNull(), missing).otherwise(s3_event(inner))
     if body_format == "auto":
-        found = F.when(wrapped, unwrapped).otherwise(s3_event(body))
+        found = F.when(wrapped, unwrapped).otherwise(s3_event(v))
     elif body_format == "s3":
-        found = F.when(wrapped, _result(F.lit("a topic envelope, where a direct event is expected"), F.array().cast(OBJECTS))).otherwise(s3_event(body))
+        found = F.when(wrapped, _result(F.lit("a topic envelope, where a direct event is expected"), F.array().cast(OBJECTS))).otherwise(s3_event(v))
     else:
         found = unwrapped
     found = F.when(body.isNull(), _result(F.lit("no body"), F.array().cast(OBJECTS))).otherwise(found)
-    return _items(rows, found, _text(record, "$.messageId")).drop("__record")
+    return _items(rows, found, _text(record, "$.messageId")).drop("__record", "__body", "__inner")
 
 
 def decode_eventbridge(payloads: DataFrame) -> DataFrame:
     """Only created objects of event version 1; the key is taken as it stands."""
-    v = F.try_parse_json("payload")
+    v = F.col("__v")
     kind, version = _text(v, "$['detail-type']"), _text(v, "$.detail['event-version']")
     bucket, key = _text(v, "$.detail.bucket.name"), _text(v, "$.detail.object.key")
     size = F.try_variant_get(v, "$.detail.object.size", "bigint")
@@ -117,8 +124,8 @@ def decode_eventbridge(payloads: DataFrame) -> DataFrame:
         .otherwise(F.lit(None))
     )
     objects = F.when(kind == "Object Created", F.array(F.struct(bucket.alias("bucket"), key.alias("key"), size.alias("size"))).cast(OBJECTS)).otherwise(F.array().cast(OBJECTS))
-    out = _items(payloads.withColumn("item", F.lit(0)), _result(error.cast("string"), objects), F.lit(None))
-    return out.filter("decode_error is not null or size(objects) > 0")
+    parsed = payloads.withColumn("item", F.lit(0)).withColumn("__v", _parsed(F.col("payload")))
+    return _items(parsed, _result(error.cast("string"), objects), F.lit(None)).drop("__v").filter("decode_error is not null or size(objects) > 0")
 
 
 DECODERS = {"s3": decode_s3, "sns": decode_sns, "sqs": decode_sqs, "eventbridge": decode_eventbridge}

@@ -6,10 +6,10 @@ import pytest
 
 from sievelog.cli import main
 from sievelog.operators.counting import metric_lines
-from sievelog.pipeline import AuditPipeline, RunError
+from sievelog.pipeline import AuditPipeline, RunError, filter_folder
 from sievelog.plans.config_store import ConfigStore, FileSource, parse_uri, source_for
-from sievelog.plans.rules import ConfigError
-from sievelog.plans.settings import from_parts
+from sievelog.plans.rules import ConfigError, parse_rules
+from sievelog.plans.settings import Settings, from_parts
 
 RULES = "version: 2.0.0\nrules:\n  - {name: drop, matches: [{field: eventName, equals: Decrypt}]}\n  - {name: late, matches: [{field: eventName, regex: '^(Decrypt|List)'}]}\n"
 DECRYPT, LOGIN = '{"eventName":"Decrypt"}', '{"eventName": "ConsoleLogin",  "n":1.50, "s":"\\u00e9\\/é"}'
@@ -212,3 +212,83 @@ def test_streams(spark, tmp_path):
     lines = spark.readStream.schema("payload string").text(str(tmp_path / "events"))
     filter_payloads(lines, pipeline, "sqs", str(tmp_path / "check2"), once=True).awaitTermination(120)
     assert (tmp_path / "out/a.json.gz").exists()
+
+
+RULE = "version: 2.0.0\nrules: [{name: drop, matches: [{field: a, equals: x}]}]"
+BODY = '{"Records":[{"a":"x"},{"a":"y","b":"1"},{"a":"z"}]}'
+
+
+@pytest.fixture
+def logs(tmp_path, monkeypatch):
+    import gzip
+
+    (tmp_path / "logs" / "in [1]").mkdir(parents=True)
+    for name in ("a.json.gz", "in [1]/b.json.gz", "notes.txt"):
+        (tmp_path / "logs" / name).write_bytes(gzip.compress(BODY.encode()))
+    (tmp_path / "link").symlink_to(tmp_path / "logs")
+    monkeypatch.chdir(tmp_path)
+    return tmp_path
+
+
+def _sieved(path):
+    import gzip
+
+    return gzip.decompress(path.read_bytes()).decode() == '{"Records":[{"a":"y","b":"1"},{"a":"z"}]}'
+
+
+@pytest.mark.parametrize("source", ["logs", "logs/", "./logs", "link", "logs/../logs", "{abs}/logs", "file:{abs}/logs"])
+def test_folders_by_any_name(spark, logs, source):
+    out = filter_folder(spark, source.format(abs=logs), "out", parse_rules(RULE), Settings())
+    assert sorted((r["rel"], r["outcome"]) for r in out.results.collect()) == [("a.json.gz", "written"), ("in [1]/b.json.gz", "written")]
+    assert _sieved(logs / "out" / "a.json.gz") and _sieved(logs / "out" / "in [1]" / "b.json.gz")
+    s = out.snapshot
+    assert (s["records_in"], s["records_kept"], s["objects_processed"], s["objects_failed"], s["objects_excluded_by_key"]) == (6, 4, 2, 0, 1)
+    assert out.rule_drops == {"drop": 2}
+
+
+@pytest.mark.parametrize(("source", "target"), [("logs", "logs"), ("logs", "link"), ("link", "logs"), ("logs", "out/../logs"), ("{abs}/logs", "./logs/"), ("logs/a.json.gz", "link/a.json.gz"), ("logs/a.json.gz", "logs/a.json.gz"), ("link/a.json.gz", "logs/../logs/a.json.gz")])
+def test_no_object_is_written_over_itself(spark, logs, source, target):
+    (logs / "out").mkdir()
+    before = {p: p.read_bytes() for p in (logs / "logs").rglob("*") if p.is_file()}
+    out = filter_folder(spark, source.format(abs=logs), target, parse_rules(RULE), Settings())
+    assert {(r["outcome"], r["error"]) for r in out.results.collect()} == {("failed", "would overwrite its source")}
+    assert {p: p.read_bytes() for p in (logs / "logs").rglob("*") if p.is_file()} == before
+    assert out.snapshot["objects_failed"] >= 1 and out.snapshot["records_in"] == 0
+
+
+def test_a_single_file_goes_where_it_is_told(spark, logs):
+    """Whatever its name: the key filter is for folders."""
+    out = filter_folder(spark, "logs/notes.txt", "picked/one", parse_rules(RULE), Settings())
+    assert [(r["rel"], r["outcome"]) for r in out.results.collect()] == [("logs/notes.txt", "written")] and _sieved(logs / "picked" / "one")
+    with pytest.raises(FileNotFoundError):
+        filter_folder(spark, "nothing/here", "out", parse_rules(RULE), Settings())
+
+
+def test_objects_of_many_batches_are_written_without_a_shuffle(spark, tmp_path):
+    import gzip
+    import json
+
+    from sievelog.operators.sink import write_objects
+    from sievelog.plans.compiler import decided
+    from sievelog.sources.envelopes import records_of
+    from pyspark.sql import functions as F
+
+    for k, n in enumerate((0, 1, 2000, 2001, 7000)):
+        (tmp_path / f"{k}.gz").write_bytes(gzip.compress(json.dumps({"Records": [{"a": "x" if i % 3 else "y", "i": i} for i in range(n)]}).encode()))
+    objects = spark.createDataFrame([(k, f"{tmp_path}/{k}.gz", f"{tmp_path}/out/{k}.gz", "buffer") for k in range(5)], "object int, path string, target string, mode string").coalesce(1)
+    frame = write_objects(decided(records_of(objects), parse_rules(RULE), parse_ok=F.col("parse_ok")), ["object"], "path", "target")
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = {r["object"]: (r["outcome"], r["records_in"], r["records_kept"]) for r in frame.collect()}
+    for k, n in enumerate((0, 1, 2000, 2001, 7000)):
+        kept = [i for i in range(n) if i % 3 == 0]
+        assert got[k] == ("written" if kept else "nothing_kept", n, len(kept))
+        if kept:
+            assert [r["i"] for r in json.loads(gzip.decompress((tmp_path / "out" / f"{k}.gz").read_bytes()))["Records"]] == kept
+
+
+def test_a_filter_on_the_decision_parses_once(spark):
+    from sievelog.plans.compiler import decided
+
+    rules = parse_rules("version: 2.0.0\nrules: [" + ", ".join(f"{{name: r{i}, matches: [{{field: a.b{i}, equals: x}}, {{field: c, any_of: [u, v]}}]}}" for i in range(9)) + "]")
+    frame = decided(spark.range(9).selectExpr("cast(id as string) as raw"), rules).filter("rule_idx is not null")
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -27,7 +27,7 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes that an end moves on at most to come to white space.
 REACH = 48
 #: Stretches that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 700_000
 
 
 def gear(data: np.ndarray) -> np.ndarray:

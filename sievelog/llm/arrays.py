@@ -6,6 +6,7 @@ functions work on that pair ``(data, off)``, document ``d`` being ``data[off[d]:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_LIBC = ctypes.CDLL(None)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: The first so many bytes of eight.
 _TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -49,13 +51,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The rows of ``batches`` in runs of at most ``limit`` bytes of text (or one row), with their bytes and offsets."""
-    for batch in batches:
-        data, off = utf8(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-            yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
-            at = to
+    try:
+        for batch in batches:
+            data, off = utf8(batch.column(column))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+                yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
+                at = to
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Gives the memory that a task has freed back to the system: a worker that waits for its next task doesn't hold it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .arrays import SLICE_BYTES, packed, positions, unpacked
+from .arrays import SLICE_BYTES, packed, positions, trim, unpacked
 
 BLOBS = "shard int, payload binary"
 #: Bytes of input for each shard, the least number of shards, and the most payloads that a task makes at once.
@@ -222,6 +222,7 @@ def reduced(frame: DataFrame, shards: int, fold: Callable, schema: str, texts: b
 
     def of(key: tuple, table: pa.Table) -> pa.Table:
         out = list(fold(key[0].as_py(), [unpacked(x.as_py()) for x in table.column("payload")], *(k.as_py() for k in key[1:])))
+        trim()
         return pa.Table.from_batches(out)
 
     frame = frame.select(*keys, "payload")

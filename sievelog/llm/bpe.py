@@ -30,7 +30,7 @@ from .pretokens import pieces
 from .vocabulary import Vocabulary, special_documents
 
 #: Bytes of text in a block, of which the distinct pre-tokens are encoded together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Distinct pre-tokens that a worker keeps from block to block.
 KEPT = 900_000
 
